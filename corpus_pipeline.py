@@ -6,12 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.llm import mixing, sharding
-from priorline.llm.common import documents, durable
+from pyspark.sql import functions as F
+
+from priorline.llm import mixing, quality, sharding, simhash
+from priorline.llm.common import documents, durable, keep, with_body
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep."""
+    judged = quality.judge(with_body(docs), carry=("doc_id", "body"))
+    return keep(docs.select(*COLUMNS), judged.filter("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document that names its group of near-duplicates, and rows that have no doc_id to be named by."""
+    placed = simhash.near_duplicates(with_body(docs), carry=("doc_id", "body"))
+    return keep(docs.select(*COLUMNS), placed.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, each as often as it takes it."""
     return mixing.take(mixing.mix(docs), COLUMNS)
@@ -24,6 +38,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_rules),
+    ("near_dedup", near_dedup),
     ("mixing", mix_sources),
     ("sharding", shard),
 ]

@@ -38,6 +38,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, body) are in verdicts; body is xxhash64 of the text, so that rows with one doc_id part."""
+    wanted = verdicts.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).distinct()
+    rows = docs.withColumn("_hash", F.xxhash64(whole("text")))
+    return rows.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_body")), "left_semi").drop("_hash")
+
+
+def with_body(docs: DataFrame) -> DataFrame:
+    """Docs with the column that keep() knows a text by."""
+    return docs.withColumn("body", F.xxhash64(whole("text")))
+
+
 def n_partitions(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
