@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from priorline.llm import mixing, quality, sharding, simhash
+from priorline.llm import leaks, mixing, quality, sharding, simhash
 from priorline.llm.common import documents, durable, keep, with_body
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,6 +26,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep(docs.select(*COLUMNS), placed.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))))
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no test item."""
+    return leaks.without_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, each as often as it takes it."""
     return mixing.take(mixing.mix(docs), COLUMNS)
@@ -40,6 +45,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("quality", quality_rules),
     ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
     ("mixing", mix_sources),
     ("sharding", shard),
 ]

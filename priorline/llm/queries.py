@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.llm import mixing, quality, secrets, sharding, simhash
+from priorline.llm import leaks, mixing, personal, quality, secrets, sharding, simhash
 from priorline.llm.common import documents
 from priorline.llm.oracles import ORACLES
 
@@ -16,11 +16,19 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal(documents(spark, sf_dir))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir).select("doc_id", "text"), 24).drop("text")
 
