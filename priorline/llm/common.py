@@ -133,7 +133,7 @@ def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
     have = 1
     while have < n:
         more = min(have, n - have)
-        out[have : have + more] = out[:more] * (out[have - 1] * base)
+        out[have : have + more] = out[:more] * (out[have - 1 : have] * base)
         have += more
     return out[:n]
 
