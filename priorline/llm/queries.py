@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.llm import leaks, mixing, personal, quality, secrets, sharding, simhash, substrings
+from priorline.llm import leaks, mixing, passages, personal, quality, secrets, sharding, simhash, substrings
 from priorline.llm.common import documents
 from priorline.llm.oracles import ORACLES
 
@@ -37,6 +37,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir).select("doc_id", "text"), 24).drop("text")
 
 
+def op8_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_classes(documents(spark, sf_dir))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 

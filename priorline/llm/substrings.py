@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorline.llm.common import Texts, mix64, powers, whole
+from priorline.llm.dealing import BITS, PACKED, answers_of, bits, block_number, bucket_of, dealt, find_shared, packed, packed_rows, unbits
 
 LENGTH = 50
 GRAM = 16
@@ -35,7 +36,6 @@ STEP = 1 << 18
 KEYS_A_TASK = 2_000_000
 #: An anchor in more blocks than this has its strings sent one by one, each to a task of its own.
 HOT_BLOCKS = 256
-BITS = np.uint64(48)
 _POWERS = powers(2 * STEP)
 _UNDO = powers(2 * STEP, np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
 
@@ -130,30 +130,6 @@ class Block:
         return least < most
 
 
-def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """Runs of a sorted array."""
-    if len(bucket):
-        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
-            yield int(bucket[a]), slice(a, b)
-
-
-def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys - np.uint64(1)) * np.uint64(n) >> BITS).astype(np.int64) if n < 1 << 15 else ((keys - np.uint64(1)) // np.uint64((1 << 48) // n + 1)).astype(np.int64)
-
-
-def _bits(*flags: np.ndarray) -> bytes:
-    return np.packbits(np.concatenate(flags)).tobytes()
-
-
-def _unbits(payload: bytes, n: int, rows: int = 2) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(payload, np.uint8))[: n * rows].astype(bool).reshape(rows, n)
-
-
-def _answers(replies: pa.Table, step: int) -> dict[int, bytes]:
-    return {k: p for s, k, p in zip(replies.column("step").to_pylist(), replies.column("bucket").to_pylist(), replies.column("payload").to_pylist(), strict=True) if s == step}
-
-
 @dataclass
 class Repeats:
     """A block's anchors that stand in several documents, and their distinct (key, surroundings), here called entries."""
@@ -173,9 +149,9 @@ class Repeats:
     @classmethod
     def of(cls, block: Block, replies: pa.Table, buckets: int) -> Repeats:
         shared, hot = np.zeros(len(block.keys), bool), np.zeros(len(block.keys), bool)
-        answers = _answers(replies, 1)
-        for k, own in _dealt(_bucket(block.keys, buckets)):
-            shared[own], hot[own] = _unbits(answers[k], own.stop - own.start)
+        answers = answers_of(replies, 1)
+        for k, own in dealt(bucket_of(block.keys, buckets)):
+            shared[own], hot[own] = unbits(answers[k], own.stop - own.start)
         mine = np.flatnonzero(shared[block.key_of])
         order = mine[np.argsort(block.at[mine], kind="stable")]
         at, row, keys = block.at[order], block.row[order], block.keys[block.key_of[order]]
@@ -191,7 +167,7 @@ class Repeats:
                 lo, hi = at[own] - left[own] - base, at[own] + right[own] - base
                 around[own] = mix64(((sums[hi] - sums[lo]) * _tables(len(sums))[1][lo]) ^ (left[own] * 64 + right[own]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         is_hot = hot[block.key_of[order]] if len(order) else np.zeros(0, bool)
-        bucket = np.where(is_hot, mix64(keys ^ around) % np.uint64(buckets), _bucket(keys, buckets).astype(np.uint64)).astype(np.int64) if len(at) else np.zeros(0, np.int64)
+        bucket = np.where(is_hot, mix64(keys ^ around) % np.uint64(buckets), bucket_of(keys, buckets).astype(np.uint64)).astype(np.int64) if len(at) else np.zeros(0, np.int64)
         ids = block.docs[row] if len(at) else at
         by = np.lexsort((at, ids, around, keys, bucket))
         new = np.ones(len(by), bool)
@@ -205,10 +181,10 @@ class Repeats:
 
 def _request(repeats: Repeats, replies: pa.Table, buckets: int) -> tuple[np.ndarray, ...]:
     """(settled, then for each string sent: bucket, entry, key, occurrence, left, right), sorted by bucket."""
-    answers = _answers(replies, 2)
+    answers = answers_of(replies, 2)
     settled, several = np.zeros(len(repeats.key), bool), np.zeros(len(repeats.key), bool)
-    for k, own in _dealt(repeats.bucket):
-        settled[own], several[own] = _unbits(answers[k], own.stop - own.start)
+    for k, own in dealt(repeats.bucket):
+        settled[own], several[own] = unbits(answers[k], own.stop - own.start)
     first = np.full(len(repeats.key), -1, np.int64)
     ids = repeats.block.docs[repeats.row] if len(repeats.row) else repeats.row
     mine = np.flatnonzero(ids == repeats.least[repeats.entry]) if len(repeats.entry) else np.zeros(0, np.int64)
@@ -229,7 +205,7 @@ def _request(repeats: Repeats, replies: pa.Table, buckets: int) -> tuple[np.ndar
             right.append(np.full(len(own), LENGTH - back))
             key.append((mix64((mix64(strings.astype(np.uint64)) * weights).sum(axis=1, dtype=np.uint64)) >> (np.uint64(64) - BITS)) + np.uint64(1))
     e, o, x, y, k = (np.concatenate(v) for v in (entry, occurrence, left, right, key))
-    bucket = _bucket(k, buckets)
+    bucket = bucket_of(k, buckets)
     by = np.argsort(bucket, kind="stable")
     return settled, bucket[by], e[by], k[by], o[by], x[by], y[by]
 
@@ -346,9 +322,9 @@ def covered(repeats: Repeats, replies: pa.Table, buckets: int) -> np.ndarray:
     """Which bytes of the block are removed."""
     texts = repeats.block.texts
     settled, bucket, entry, _, _, _, _ = _request(repeats, replies, buckets)
-    answers = _answers(replies, 3)
+    answers = answers_of(replies, 3)
     mask = np.zeros(len(repeats.key), np.uint64)
-    for k, own in _dealt(bucket):
+    for k, own in dealt(bucket):
         np.bitwise_or.at(mask, entry[own], np.frombuffer(answers[k], np.uint64))
     edge = np.zeros(len(texts.data) + 1, np.int32)
     if len(repeats.at):
@@ -364,51 +340,14 @@ def covered(repeats: Repeats, replies: pa.Table, buckets: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-_OUT = "bucket long, block long, step int, payload binary"
-
-
-def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "block", "step", "payload"])
-
-
-def _number(table: pa.Table) -> int:
-    return table.column("block")[0].as_py()
-
-
 def _tell_keys(buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         block = Block.read(table)
         sent = (block.keys << np.uint64(1)) | block.shared_here().astype(np.uint64)
         rows = []
-        for k, own in _dealt(_bucket(block.keys, buckets)):
-            gaps = np.diff(sent[own], prepend=np.uint64(0))
-            head = sent[own][:1].tobytes()
-            small = gaps[1:].astype("<u4") if not len(gaps[1:]) or gaps[1:].max() < 1 << 32 else gaps[1:]
-            rows.append((k, _number(table), 1, bytes([small.itemsize]) + head + small.tobytes()))
-        return _rows(rows)
-
-    return run
-
-
-def _keys_of(payload: bytes) -> np.ndarray:
-    gaps = np.frombuffer(payload[9:], "<u4" if payload[0] == 4 else "<u8").astype(np.uint64)
-    return np.cumsum(np.concatenate((np.frombuffer(payload[1:9], np.uint64), gaps)), dtype=np.uint64)
-
-
-def _find_shared(hot_blocks: int) -> Callable[[pa.Table], pa.Table]:
-    def run(table: pa.Table) -> pa.Table:
-        parts = [_keys_of(p) for p in table.column("payload").to_pylist()]
-        sizes = np.array([len(p) for p in parts])
-        sent = np.concatenate(parts)
-        _, which, count = np.unique(sent >> np.uint64(1), return_inverse=True, return_counts=True)
-        multi = count > 1
-        multi[which[(sent & np.uint64(1)) > 0]] = True
-        shared, hot = multi[which], (count > hot_blocks)[which]
-        ends = np.cumsum(sizes)
-        blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
-        return _rows([(bucket, b, 1, _bits(shared[e - n : e], hot[e - n : e])) for b, n, e in zip(blocks, sizes, ends, strict=True)])
+        for k, own in dealt(bucket_of(block.keys, buckets)):
+            rows.append((k, block_number(table), 1, packed(sent[own])))
+        return packed_rows(rows)
 
     return run
 
@@ -416,13 +355,13 @@ def _find_shared(hot_blocks: int) -> Callable[[pa.Table], pa.Table]:
 def _tell_surroundings(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
-            return _rows([])
+            return packed_rows([])
         x = Repeats.of(Block.read(table), replies, buckets)
         rows = []
-        for k, own in _dealt(x.bucket):
+        for k, own in dealt(x.bucket):
             keys = (x.key[own] << np.uint64(1)) | x.hot[own].astype(np.uint64)
-            rows.append((k, _number(table), 2, keys.tobytes() + x.around[own].tobytes() + x.least[own].tobytes()))
-        return _rows(rows)
+            rows.append((k, block_number(table), 2, keys.tobytes() + x.around[own].tobytes() + x.least[own].tobytes()))
+        return packed_rows(rows)
 
     return run
 
@@ -446,7 +385,7 @@ def _find_first(table: pa.Table) -> pa.Table:
     sizes = np.array([p.shape[1] for p in parts])
     ends = np.cumsum(sizes)
     blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
-    return _rows([(bucket, b, 2, _bits(settled[e - n : e], several[e - n : e])) for b, n, e in zip(blocks, sizes, ends, strict=True)])
+    return packed_rows([(bucket, b, 2, bits(settled[e - n : e], several[e - n : e])) for b, n, e in zip(blocks, sizes, ends, strict=True)])
 
 
 _ROW = 8 + 8 + 1 + 1 + REACH + LENGTH
@@ -455,14 +394,14 @@ _ROW = 8 + 8 + 1 + 1 + REACH + LENGTH
 def _tell_strings(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
-            return _rows([])
+            return packed_rows([])
         x = Repeats.of(Block.read(table), replies, buckets)
         _, bucket, entry, key, at, left, right = _request(x, replies, buckets)
         rows = []
-        for k, own in _dealt(bucket):
+        for k, own in dealt(bucket):
             chars = _surroundings(x.block.texts.data, x.at[at[own]], left[own], right[own])
-            rows.append((k, _number(table), 3, key[own].tobytes() + x.least[entry[own]].tobytes() + left[own].astype(np.uint8).tobytes() + right[own].astype(np.uint8).tobytes() + chars.tobytes()))
-        return _rows(rows)
+            rows.append((k, block_number(table), 3, key[own].tobytes() + x.least[entry[own]].tobytes() + left[own].astype(np.uint8).tobytes() + right[own].astype(np.uint8).tobytes() + chars.tobytes()))
+        return packed_rows(rows)
 
     return run
 
@@ -476,7 +415,7 @@ def _find_strings(table: pa.Table) -> pa.Table:
     mask = repeated_strings(key, doc, left.astype(np.int64), right.astype(np.int64), chars)
     ends = np.cumsum([len(p[0]) for p in parts])
     blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
-    return _rows([(bucket, b, 3, mask[e - len(p[0]) : e].tobytes()) for b, p, e in zip(blocks, parts, ends, strict=True)])
+    return packed_rows([(bucket, b, 3, mask[e - len(p[0]) : e].tobytes()) for b, p, e in zip(blocks, parts, ends, strict=True)])
 
 
 def _remove(buckets: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -519,14 +458,14 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, block_bytes: int =
     blocks = max(1, -(-total // block_bytes))
     buckets = max(1, -(-total // (16 * KEYS_A_TASK)))
     salt = F.xxhash64("rank", F.octet_length("text"), F.crc32(F.col("text").cast("binary")))
-    dealt = bodies.select(F.pmod(salt, F.lit(blocks)).alias("block"), "rank", "text").repartition(blocks, "block")
-    by_block = dealt.groupBy("block")
-    keys = by_block.applyInArrow(_tell_keys(buckets), _OUT)
-    shared = keys.groupBy("bucket").applyInArrow(_find_shared(hot_blocks), _OUT)
-    around = by_block.cogroup(shared.groupBy("block")).applyInArrow(_tell_surroundings(buckets), _OUT)
-    first = around.groupBy("bucket").applyInArrow(_find_first, _OUT)
+    dealt_out = bodies.select(F.pmod(salt, F.lit(blocks)).alias("block"), "rank", "text").repartition(blocks, "block")
+    by_block = dealt_out.groupBy("block")
+    keys = by_block.applyInArrow(_tell_keys(buckets), PACKED)
+    shared = keys.groupBy("bucket").applyInArrow(find_shared(hot_blocks), PACKED)
+    around = by_block.cogroup(shared.groupBy("block")).applyInArrow(_tell_surroundings(buckets), PACKED)
+    first = around.groupBy("bucket").applyInArrow(_find_first, PACKED)
     told = shared.unionByName(first)
-    strings = by_block.cogroup(told.groupBy("block")).applyInArrow(_tell_strings(buckets), _OUT)
-    found = strings.groupBy("bucket").applyInArrow(_find_strings, _OUT)
+    strings = by_block.cogroup(told.groupBy("block")).applyInArrow(_tell_strings(buckets), PACKED)
+    found = strings.groupBy("bucket").applyInArrow(_find_strings, PACKED)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return by_block.cogroup(told.unionByName(found).groupBy("block")).applyInArrow(_remove(buckets, with_text), schema)
