@@ -52,4 +52,21 @@ SELECT b.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM b LEFT JOIN g ON b.doc_id = g.doc_id
 """
 
-ORACLES = {"op1_secret_scans": SECRETS, "op5_mixing": MIXING}
+LINES = r"""
+WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM a),
+w AS (SELECT doc_id, line_no, doc_id * 10000000 + line_no AS p, list_filter(string_split_regex(line, '[\x20\x09\x0B-\x0D]+'), lambda x: x <> '') AS w FROM l),
+d1 AS (SELECT array_to_string(w, chr(1)) AS t, any_value(w) AS w, min(p) AS p FROM w WHERE len(w) > 0 GROUP BY 1),
+v AS (SELECT t, p, len(w) AS n, i, array_to_string(w[:i - 1] || w[i + 1:], chr(1)) AS var
+      FROM (SELECT t, w, p, unnest(range(1, len(w) + 1)) AS i FROM d1 WHERE len(w) >= 5)),
+near AS (SELECT a.t, b.p FROM v a JOIN (SELECT var, i, n, min(p) AS p FROM v GROUP BY ALL) b ON a.var = b.var AND a.i = b.i AND a.n = b.n WHERE b.p < a.p
+         UNION ALL SELECT a.t, b.p FROM v a JOIN d1 b ON a.var = b.t WHERE len(b.w) >= 5 AND b.p < a.p
+         UNION ALL SELECT b.t, a.p FROM v a JOIN d1 b ON a.var = b.t WHERE len(b.w) >= 5 AND a.p < b.p),
+e AS (SELECT t, min(p) AS p FROM (SELECT t, p FROM d1 UNION ALL SELECT t, p FROM near) GROUP BY t),
+x AS (SELECT w.doc_id, w.line_no FROM w JOIN e ON array_to_string(w.w, chr(1)) = e.t WHERE len(w.w) > 0 AND w.p > e.p),
+g AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS dropped FROM x GROUP BY doc_id)
+SELECT a.doc_id, CAST(len(a.ls) AS BIGINT) AS n_lines, coalesce(g.n, 0) AS n_dropped, coalesce(g.dropped, '') AS dropped
+FROM a LEFT JOIN g ON a.doc_id = g.doc_id
+"""
+
+ORACLES = {"op3_line_dedup": LINES, "op1_secret_scans": SECRETS, "op5_mixing": MIXING}

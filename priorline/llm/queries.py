@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.llm import leaks, mixing, passages, personal, quality, secrets, sharding, simhash, substrings
+from priorline.llm import leaks, lines, mixing, passages, personal, quality, secrets, sharding, simhash, substrings
 from priorline.llm.common import documents
 from priorline.llm.oracles import ORACLES
 
@@ -20,6 +20,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_drops(documents(spark, sf_dir))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
