@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
+from priorline import queries as themes  # noqa: F401  registers all
+from priorline.registry import ORACLES, QUERIES, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders")
+    """Each side's strictly earlier record."""
+    return QUERIES["pit_counts"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
