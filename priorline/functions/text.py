@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed words that stand for a missing entry in source lists.
 SENTINELS = ("None", "Missing Data", "null", "")
@@ -24,7 +25,7 @@ def identity_text(x: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(x), "\\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded_text(x: pd.Series) -> pd.Series:
     """Compatibility form, case folding and white space, for any script; Spark has no function for the first two."""
     return x.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).casefold().split()))
