@@ -1 +1,54 @@
-"""Placeholder."""
+"""Release and selection gates over per-group metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from priorline.operators import metrics as M
+from priorline.operators.policy import gated, select_or_fall_back
+from priorline.queries.metrics import SCORED_SQL, scored
+from priorline.registry import query
+
+_G = f"{SCORED_SQL}, g AS (SELECT league AS name, row_number() OVER (ORDER BY league) AS ordinal, count(*) AS n, avg(loss) AS loss, avg(loss2) AS control, avg(pow(p - y, 2)) AS brier, abs(avg(p) - avg(y)) AS bias FROM x GROUP BY league)"
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    y, p = F.col("y"), F.col("p")
+    rows = scored(spark, sf_dir).groupBy(F.col("league").alias("name")).agg(F.count(F.lit(1)).alias("n"), M.log_loss(y, p).alias("loss"), M.log_loss(y, F.col("p2")).alias("control"), M.brier(y, p).alias("brier"), F.abs(F.avg(p) - F.avg(y)).alias("bias"))
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name")))
+
+
+def _case(checks: dict[str, str]) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN NOT ({sql}) THEN '{name}' END" for name, sql in checks.items()) + ")"
+
+
+RELEASE = {"enough_rows": "n >= 100", "beats_control": "loss < control", "brier": "brier < 0.335", "bias": "bias < 0.2", "loss_limit": "loss < 1.1", "no_regression": "loss - control < 0.05"}
+DEVELOPMENT = {"rows": "n >= 50", "loss": "loss <= control + 0.01", "bias": "bias <= 0.25", "brier": "brier <= 0.4"}
+DECISION = {"loss": "loss < control", "rows": "n > 10", "brier": "brier < 0.34", "bias": "bias < 0.3", "finite": "loss < 1e9"}
+
+
+def _columns(checks: dict[str, str]) -> list:
+    return [(name, F.expr(sql)) for name, sql in checks.items()]
+
+
+@query(f"WITH {_G} SELECT name, {_case(RELEASE)} AS failed, CASE WHEN {_case(RELEASE)} = '' THEN 'recommend' ELSE 'fallback' END AS decision FROM g")
+def release_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated(_groups(spark, sf_dir), _columns(RELEASE)).select("name", "failed", F.when(F.col("eligible"), "recommend").otherwise("fallback").alias("decision"))
+
+
+@query(f"WITH {_G} SELECT name, {_case(DEVELOPMENT)} AS failed, {_case(DEVELOPMENT)} = '' AS eligible FROM g")
+def dev_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated(_groups(spark, sf_dir), _columns(DEVELOPMENT)).select("name", "failed", "eligible")
+
+
+@query(f"WITH {_G} SELECT coalesce(arg_min(name, (loss, ordinal)) FILTER ({_case(DEVELOPMENT)} = ''), 'elo') AS selected, count(*) FILTER ({_case(DEVELOPMENT)} = '') AS n_eligible FROM g")
+def trial_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select_or_fall_back(gated(_groups(spark, sf_dir), _columns(DEVELOPMENT)), "elo")
+
+
+@query(f"WITH {_G} SELECT name, {_case(DECISION)} AS failed, {_case(DECISION)} = '' AS passes FROM g")
+def decision_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated(_groups(spark, sf_dir), _columns(DECISION)).select("name", "failed", F.col("eligible").alias("passes"))
