@@ -38,11 +38,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns as one, _row, so that no name of theirs can clash with an operator's own; "_row.*" brings them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
 def keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of docs whose (doc_id, body) are in verdicts; body is xxhash64 of the text, so that rows with one doc_id part."""
     wanted = verdicts.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).distinct()
-    rows = docs.withColumn("_hash", F.xxhash64(whole("text")))
-    return rows.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_body")), "left_semi").drop("_hash")
+    rows = docs.select(packed(docs), F.col("doc_id").alias("_doc"), F.xxhash64(whole("text")).alias("_hash"))
+    return rows.join(wanted.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_body")), "left_semi").select("_row.*")
 
 
 def with_body(docs: DataFrame) -> DataFrame:

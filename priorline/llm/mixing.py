@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from priorline.llm.common import WORD, whole
+from priorline.llm.common import WORD, packed, whole
 
 CELL_ROWS = 20_000
 
@@ -52,14 +52,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
     """
     taken = ["size", "source_size", "target", "copies", "taken"]
     docs = docs.drop(*[c for c in docs.columns if c in taken])
-    kept = docs.columns
     rows = docs.count()
     digits = max(1, math.ceil(math.log(max(rows / (40 * CELL_ROWS), 1), 16)) + 1)
     bits = F.bin("size")
     named = (
-        docs.withColumn("size", F.regexp_count(whole(F.col(text).cast("string")), F.lit(WORD)).cast("long"))
-        .withColumn("_source", F.col(source))
-        .withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("null")))
+        docs.select(
+            packed(docs),
+            F.regexp_count(whole(F.col(text).cast("string")), F.lit(WORD)).cast("long").alias("size"),
+            F.col(source).alias("_source"),
+            F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("_key"),
+        )
         .withColumn("_hash", F.md5("_key"))
         .withColumn("_class", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 3)))
         .withColumn("_cell", F.concat(F.col("_class"), F.lit(":"), F.substring("_hash", 1, digits)))
@@ -78,7 +80,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
     numbered = named.withColumn("_rank", F.row_number().over(inside)).join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
     upto = F.col("_before") + F.col("_rank")
     copies = F.floor(F.col("_u") + F.col("_rate") * upto) - F.floor(F.col("_u") + F.col("_rate") * (upto - 1))
-    return numbered.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select(*kept, *taken)
+    return numbered.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select("_row.*", *taken)
 
 
 def take(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from priorline.llm.common import whole
+from priorline.llm.common import packed, whole
 
 #: Rows that one sorted cell of a shard should hold at most, on average.
 CELL_ROWS = 20_000
@@ -41,18 +41,16 @@ def shard_rows(docs: DataFrame, shards: int = 24, weights: Sequence[float] | Non
         raise ValueError("one positive weight for each shard is needed")
     taken = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     docs = docs.drop(*[c for c in docs.columns if c in taken])
-    hidden = [c for c in ("_key", "_hash", "_cell") if c in docs.columns]
-    if hidden:
-        raise ValueError(f"reserved column names: {hidden}")
     rows = docs.count()
     digits = max(1, math.ceil(math.log(max(rows / (shards * CELL_ROWS), 1), 16)) + 1)
     body = whole(F.col(text).cast("string"))
     named = (
-        docs.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("null")))
+        docs.select(packed(docs), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("_key"), body.alias("_text"))
         .withColumn("_hash", F.md5("_key"))
         .withColumn("_cell", F.substring("_hash", 1, digits))
-        .withColumn("size", F.octet_length(body).cast("long") + 8)
-        .withColumn("text_crc32", F.crc32(body.cast("binary")))
+        .withColumn("size", F.octet_length("_text").cast("long") + 8)
+        .withColumn("text_crc32", F.crc32(F.col("_text").cast("binary")))
+        .drop("_text")
         .withColumn("law", F.lit("key"))
         .withColumn("shard", _best(F.col("_key"), weights))
         .withColumn("grown_shard", _best(F.col("_key"), [*weights, sum(weights) / shards]))
@@ -62,4 +60,4 @@ def shard_rows(docs: DataFrame, shards: int = 24, weights: Sequence[float] | Non
     offsets = cells.select("shard", "_cell", F.coalesce(F.sum("_rows").over(along), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("shard", "_cell").orderBy("_hash", "_key", "text_crc32", "size")
     placed = named.withColumn("_rank", F.row_number().over(inside)).join(offsets, ["shard", "_cell"])
-    return placed.withColumn("slot", F.col("_before") + F.col("_rank") - 1).select(*docs.columns, *taken)
+    return placed.withColumn("slot", F.col("_before") + F.col("_rank") - 1).select("_row.*", *taken)
