@@ -45,6 +45,9 @@ BLOCK_BYTES = 4 << 20
 STEP = 1 << 19
 KEYS_A_TASK = 400_000
 SMALL_GROUP = 12
+#: Tokens of the longer of the two runs that near passages have in common, and of the grams it is known by.
+RUN = (LEAST_SHARED + 1) // 2
+GRAM = 15
 HOT_BLOCKS = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -236,14 +239,58 @@ def overlap(one: np.ndarray, left: np.ndarray, right: np.ndarray, many: np.ndarr
     return np.where(whole_run, runs, 0).max(axis=1) >= LEAST_SHARED
 
 
-def compare(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the documents of one key, enough to connect whatever all its pairs would connect."""
+def parted(key: np.ndarray, left: np.ndarray, right: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, finer key): rows that can be linked share one. Two passages at LEAST_OVERLAP differ by one word between two runs
+    of common tokens, so they have a common run of RUN; the least hash of any run of GRAM in it, over each RUN - GRAM + 1
+    places, is in both lists."""
+    n, width = tokens.shape
+    columns = np.arange(-SIDE, PASSAGE)
+    weights = mix64(np.arange(1, GRAM + 1, dtype=np.uint64))
+    rows, keys = [], []
+    for part in np.array_split(np.arange(n), n // 20_000 + 1):
+        hashes = np.zeros((len(part), width - GRAM + 1), np.uint64)
+        for k in range(GRAM):
+            hashes += mix64(tokens[part, k : width - GRAM + 1 + k].astype(np.uint64) + np.uint64(1)) * weights[k]
+        hashes = mix64(hashes) | np.uint64(1)
+        begins = columns[: width - GRAM + 1]
+        outside = (begins < -left[part, None]) | (begins + GRAM > right[part, None])
+        hashes[outside] = np.iinfo(np.uint64).max
+        span = RUN - GRAM + 1
+        low = np.min(np.stack([hashes[:, k : hashes.shape[1] - span + 1 + k] for k in range(span)]), axis=0)
+        whole_run = (columns[: low.shape[1]] >= -left[part, None]) & (columns[: low.shape[1]] + RUN <= right[part, None])
+        at, where = np.nonzero(whole_run)
+        found = np.unique(np.stack((part[at].astype(np.uint64), mix64(low[at, where] ^ key[part[at]])), axis=1), axis=0)
+        rows.append(found[:, 0].astype(np.int64))
+        keys.append(found[:, 1])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def compare(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, tokens: np.ndarray, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the documents of one key, enough to connect whatever all its pairs would connect.
+
+    Large groups are first parted by common runs of tokens, so that those who share a phrase only don't meet.
+    """
     order = np.lexsort((doc, key))
-    key, doc, left, right, tokens = (x[order] for x in (key, doc, left, right, tokens))
+    key, doc, left, right = (x[order] for x in (key, doc, left, right))
     begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
     size = np.diff(np.append(begin, len(key)))
     small = np.repeat(size <= SMALL_GROUP, size)
     a, b = [], []
+    if not fine and (size > SMALL_GROUP).any():
+        large = np.flatnonzero(~small)
+        own, finer = parted(key[large], left[large], right[large], tokens[order[large]])
+        _, group, count = np.unique(finer, return_inverse=True, return_counts=True)
+        own, finer = large[own[count[group] > 1]], finer[count[group] > 1]
+        more = compare(finer, doc[own], left[own], right[own], tokens[order[own]], True) if len(own) else None
+        if more:
+            a.append(more[0])
+            b.append(more[1])
+        keep = np.flatnonzero(small)
+        order, key, doc, left, right = order[keep], key[keep], doc[keep], left[keep], right[keep]
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
+        size = np.diff(np.append(begin, len(key)))
+        small = np.repeat(size <= SMALL_GROUP, size)
+    tokens = tokens[order]
     for step in range(1, SMALL_GROUP):
         near = np.flatnonzero((key[:-step] == key[step:]) & small[:-step]) if len(key) > step else np.zeros(0, int)
         if not len(near):
