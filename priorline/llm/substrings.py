@@ -77,7 +77,8 @@ def anchors(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.n
         low[s:] = np.maximum(low[s:], low[:-s])
         have += s
     at = np.flatnonzero(low == h)
-    return at, h[at]
+    # Least hashes crowd at zero; scrambled again they spread evenly over the buckets.
+    return at, (mix64(h[at]) >> (np.uint64(64) - BITS)) + np.uint64(1)
 
 
 def _steps(start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, int]]:
