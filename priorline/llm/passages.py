@@ -45,9 +45,8 @@ BLOCK_BYTES = 4 << 20
 STEP = 1 << 19
 KEYS_A_TASK = 400_000
 SMALL_GROUP = 12
-#: Tokens of the longer of the two runs that near passages have in common, and of the grams it is known by.
-RUN = (LEAST_SHARED + 1) // 2
-GRAM = 15
+#: Tokens beside the centre that rows of a large group must have in common, on one side of it, to be compared.
+BESIDE = 20
 HOT_BLOCKS = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -222,16 +221,16 @@ def _join(block: Block, mine: np.ndarray) -> np.ndarray:
 
 
 def overlap(one: np.ndarray, left: np.ndarray, right: np.ndarray, many: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
-    """Which pairs of surroundings (tokens with the centre in column SIDE) have a common or near-common passage over it."""
-    columns = np.arange(-SIDE, PASSAGE)
-    inside_one = (columns >= -left[:, None]) & (columns < right[:, None])
-    inside_many = (columns >= -lefts[:, None]) & (columns < rights[:, None])
+    """Which pairs of surroundings (tokens with the centre in column SIDE, 0 outside the text) have a common or near-common
+    passage over it; one row may stand for all on its side."""
+    width = many.shape[1]
     shared = np.zeros(many.shape, bool)
     for shift in range(-SHIFT, SHIFT + 1):
-        a = slice(max(0, shift), len(columns) + min(0, shift))
-        b = slice(max(0, -shift), len(columns) + min(0, -shift))
-        shared[:, a] |= (one[:, a] == many[:, b]) & inside_one[:, a] & inside_many[:, b]
-    sums = np.zeros((len(many), len(columns) + 1), np.int16)
+        a = slice(max(0, shift), width + min(0, shift))
+        b = slice(max(0, -shift), width + min(0, -shift))
+        shared[:, a] |= one[:, a] == many[:, b]
+    shared &= one != 0
+    sums = np.zeros((len(many), width + 1), np.int16)
     np.cumsum(shared, axis=1, out=sums[:, 1:])
     runs = sums[:, PASSAGE:] - sums[:, :-PASSAGE]
     begins = np.arange(-SIDE, 1)
@@ -240,77 +239,100 @@ def overlap(one: np.ndarray, left: np.ndarray, right: np.ndarray, many: np.ndarr
 
 
 def parted(key: np.ndarray, left: np.ndarray, right: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, finer key): rows that can be linked share one. Two passages at LEAST_OVERLAP differ by one word between two runs
-    of common tokens, so they have a common run of RUN; the least hash of any run of GRAM in it, over each RUN - GRAM + 1
-    places, is in both lists."""
-    n, width = tokens.shape
-    columns = np.arange(-SIDE, PASSAGE)
-    weights = mix64(np.arange(1, GRAM + 1, dtype=np.uint64))
+    """(row, finer key): the key with the BESIDE tokens that follow the centre, and with those before it.
+
+    A common passage over the centre has one of the two in any case; a near one has if the changed word stands far enough
+    from the centre on the other side, which other centres of the passage may meet where this one doesn't.
+    """
     rows, keys = [], []
-    for part in np.array_split(np.arange(n), n // 20_000 + 1):
-        hashes = np.zeros((len(part), width - GRAM + 1), np.uint64)
-        for k in range(GRAM):
-            hashes += mix64(tokens[part, k : width - GRAM + 1 + k].astype(np.uint64) + np.uint64(1)) * weights[k]
-        hashes = mix64(hashes) | np.uint64(1)
-        begins = columns[: width - GRAM + 1]
-        outside = (begins < -left[part, None]) | (begins + GRAM > right[part, None])
-        hashes[outside] = np.iinfo(np.uint64).max
-        span = RUN - GRAM + 1
-        low = np.min(np.stack([hashes[:, k : hashes.shape[1] - span + 1 + k] for k in range(span)]), axis=0)
-        whole_run = (columns[: low.shape[1]] >= -left[part, None]) & (columns[: low.shape[1]] + RUN <= right[part, None])
-        at, where = np.nonzero(whole_run)
-        found = np.unique(np.stack((part[at].astype(np.uint64), mix64(low[at, where] ^ key[part[at]])), axis=1), axis=0)
-        rows.append(found[:, 0].astype(np.int64))
-        keys.append(found[:, 1])
+    for own, columns, side in ((np.flatnonzero(right > BESIDE), range(SIDE + 1, SIDE + BESIDE + 1), 1), (np.flatnonzero(left >= BESIDE), range(SIDE - BESIDE, SIDE), 2)):
+        made = mix64(key[own] + np.uint64(side))
+        for k in columns:
+            made = mix64(made ^ tokens[own, k].astype(np.uint64))
+        rows.append(own)
+        keys.append(made)
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def compare(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, tokens: np.ndarray, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
+class _Parts:
+    """Which documents of a bucket are connected so far."""
+
+    def __init__(self, doc: np.ndarray) -> None:
+        self.names, self.of = np.unique(doc, return_inverse=True)
+        self.label = np.arange(len(self.names))
+
+    def join(self, one: np.ndarray, two: np.ndarray) -> None:
+        """Connect documents pair by pair."""
+        for a, b in zip(self.of[one].tolist(), self.of[two].tolist(), strict=True):
+            x, y = self.label[a], self.label[b]
+            if x != y:
+                self.label[self.label == max(x, y)] = min(x, y)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        return self.label[self.of[rows]]
+
+
+def compare(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links between the documents of one key, enough to connect whatever all its pairs would connect.
 
-    Large groups are first parted by common runs of tokens, so that those who share a phrase only don't meet.
+    Documents that are connected already, by this key or another of the bucket, are not compared again. Large
+    groups are first parted by common runs of tokens, so that those who share a phrase only don't meet.
     """
-    order = np.lexsort((doc, key))
-    key, doc, left, right = (x[order] for x in (key, doc, left, right))
-    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
-    size = np.diff(np.append(begin, len(key)))
+    columns = np.arange(-SIDE, PASSAGE)
+    inside = (columns >= -left[:, None]) & (columns < right[:, None])
+    tokens = np.where(inside, np.maximum(tokens, 1), 0).astype(np.uint16)
+    able = np.flatnonzero(left + right >= PASSAGE)
+    able = able[np.lexsort((doc[able], key[able]))]
+    parts, a, b = _Parts(doc), [], []
+
+    def groups(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
+        return begin, np.diff(np.append(begin, len(rows)))
+
+    def link(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        hits = np.minimum(left[one], left[two]) + np.minimum(right[one], right[two]) >= PASSAGE
+        for part in np.array_split(np.flatnonzero(hits), hits.sum() // 20_000 + 1):
+            x, y = one[part], two[part]
+            lead = x[:1] if len(x) and (x == x[0]).all() else x
+            hits[part] = overlap(tokens[lead], left[x], right[x], tokens[y], left[y], right[y])
+        new = np.flatnonzero(hits)
+        a.append(doc[one[new]])
+        b.append(doc[two[new]])
+        parts.join(one[new], two[new])
+        return hits
+
+    def small_groups(rows: np.ndarray, keys: np.ndarray, small: np.ndarray) -> None:
+        for step in range(1, SMALL_GROUP):
+            near = np.flatnonzero((keys[:-step] == keys[step:]) & small[:-step]) if len(keys) > step else np.zeros(0, int)
+            near = near[parts[rows[near]] != parts[rows[near + step]]]
+            if len(near):
+                link(rows[near], rows[near + step])
+
+    begin, size = groups(able, key[able])
     small = np.repeat(size <= SMALL_GROUP, size)
-    a, b = [], []
-    if not fine and (size > SMALL_GROUP).any():
-        large = np.flatnonzero(~small)
-        own, finer = parted(key[large], left[large], right[large], tokens[order[large]])
-        _, group, count = np.unique(finer, return_inverse=True, return_counts=True)
-        own, finer = large[own[count[group] > 1]], finer[count[group] > 1]
-        more = compare(finer, doc[own], left[own], right[own], tokens[order[own]], True) if len(own) else None
-        if more:
-            a.append(more[0])
-            b.append(more[1])
-        keep = np.flatnonzero(small)
-        order, key, doc, left, right = order[keep], key[keep], doc[keep], left[keep], right[keep]
-        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
-        size = np.diff(np.append(begin, len(key)))
-        small = np.repeat(size <= SMALL_GROUP, size)
-    tokens = tokens[order]
-    for step in range(1, SMALL_GROUP):
-        near = np.flatnonzero((key[:-step] == key[step:]) & small[:-step]) if len(key) > step else np.zeros(0, int)
-        if not len(near):
-            break
-        for part in np.array_split(near, len(near) // 20_000 + 1):
-            hit = part[overlap(tokens[part], left[part], right[part], tokens[part + step], left[part + step], right[part + step])]
-            a.append(doc[hit])
-            b.append(doc[hit + step])
-    for g in np.flatnonzero(size > SMALL_GROUP):
-        rest = np.arange(begin[g], begin[g] + size[g])
-        while len(rest) > 1:
-            front, rest = rest[:1], rest[1:]
-            while len(front) and len(rest):
-                one, front = front[0], front[1:]
-                hits = [overlap(np.broadcast_to(tokens[one], (len(p), tokens.shape[1])), np.full(len(p), left[one]), np.full(len(p), right[one]), tokens[p], left[p], right[p]) for p in np.array_split(rest, len(rest) // 20_000 + 1)]
-                hit = np.concatenate(hits)
-                found, rest = rest[hit], rest[~hit]
-                a.append(np.full(len(found), doc[one]))
-                b.append(doc[found])
-                front = np.concatenate((front, found))
+    small_groups(able, key[able], small)
+    large = able[~small]
+    if len(large):
+        own, finer = parted(key[large], left[large], right[large], tokens[large])
+        order = np.lexsort((doc[large[own]], finer))
+        rows, finer = large[own[order]], finer[order]
+        begin, size = groups(rows, finer)
+        small_groups(rows, finer, np.repeat(size <= SMALL_GROUP, size))
+        for g in np.flatnonzero(size > SMALL_GROUP):
+            rest = rows[begin[g] : begin[g] + size[g]]
+            while len(rest) > 1:
+                label = parts[rest]
+                if (label == label[0]).all():
+                    break
+                front, rest = rest[:1], rest[1:]
+                while len(front) and len(rest):
+                    one, front = front[:1], front[1:]
+                    apart = np.flatnonzero(parts[rest] != parts[one])
+                    if not len(apart):
+                        continue
+                    hit = apart[link(np.repeat(one, len(apart)), rest[apart])]
+                    front = np.concatenate((front, rest[hit]))
+                    rest = np.delete(rest, hit)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
