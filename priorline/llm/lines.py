@@ -16,31 +16,46 @@ from priorline.llm.common import durable, whole
 
 #: Shorter lines are only compared for equality: with one word changed any two would be near.
 LEAST_WORDS = 5
+#: Candidate lines up to this many are sent to the tasks that read the texts; beyond, texts and candidates are dealt by line.
+MOST_SENT_ROWS = 1_000_000
 _LAST = (1 << 63) - 1
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, "[\\x20\\x09\\x0B-\\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " ", -1), "")
 
 
-def read_lines(docs: DataFrame) -> DataFrame:
-    """rank, body, line_no, words, h1, h2 for each line that has a word."""
+def raw_lines(docs: DataFrame) -> DataFrame:
+    """rank, body, line_no and line for all lines."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("rank"), whole("text").alias("text"))
-    split = rows.select("rank", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    worded = split.select("rank", "body", "line_no", _words(F.col("line")).alias("words")).filter(F.size("words") > 0)
-    return worded.withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64(F.lit(7), F.col("words"), F.size("words")))
+    return rows.select("rank", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+
+
+def worded(lines: DataFrame) -> DataFrame:
+    """Adds words, h1 and h2, for lines that have a word."""
+    split = lines.withColumn("words", _words(F.col("line"))).filter(F.size("words") > 0)
+    return split.withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64(F.lit(7), F.col("words"), F.size("words")))
+
+
+def read_lines(docs: DataFrame) -> DataFrame:
+    """rank, body, line_no, line, words, h1, h2 for each line that has a word."""
+    return worded(raw_lines(docs))
 
 
 def half_keys(words: Column) -> Column:
-    """Hashes of the first and last halves that a near line of equal length, or one word shorter, shares."""
+    """(key, low, high) for the first and last halves that a near line of equal length, or one word shorter, shares; the
+    differing word then stands between low and high."""
     n = F.size(words)
 
-    def half(side: str, size: Column) -> Column:
+    def half(side: str, m: Column) -> Column:
+        size = F.floor(m / 2).cast("int")
         part = F.slice(words, F.lit(1), size) if side == "first" else F.slice(words, n - size + 1, size)
-        return F.xxhash64(F.lit(side), size, part)
+        low, high = (size + 1, n) if side == "first" else (F.lit(1), n - size)
+        return F.struct(F.xxhash64(F.lit(side), size, part).alias("key"), low.alias("low"), high.alias("high"))
 
-    halves = [half(side, F.floor(m / 2).cast("int")) for m in (n, n - 1) for side in ("first", "last")]
-    return F.when(n >= LEAST_WORDS, F.array_distinct(F.array(*halves))).otherwise(F.array().cast("array<bigint>"))
+    one = [half(side, n) for side in ("first", "last")]
+    # With an odd number of words both sizes are the same.
+    return F.when(n % 2 == 1, F.array(*one)).otherwise(F.array(*one, *[half(side, n - 1) for side in ("first", "last")]))
 
 
 def _edit_within_one(a: Column, b: Column) -> Column:
@@ -56,10 +71,10 @@ def _edit_within_one(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), ends >= F.size(a) - 1).when(F.abs(F.size(a) - F.size(b)) == 1, ends >= least).otherwise(False)
 
 
-def variant_keys(words: Column) -> Column:
-    """(kind, key): 0 a word's place left blank, 1 a word dropped, 2 the line itself."""
+def variant_keys(words: Column, low: Column, high: Column) -> Column:
+    """(kind, key) for words low to high: 0 the word's place left blank, 1 the word dropped; and 2, the line itself."""
     n = F.size(words)
-    places = F.sequence(F.lit(1), n)
+    places = F.sequence(low, high)
 
     def without(i: Column) -> Column:
         return F.xxhash64(F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, n)))
@@ -69,30 +84,38 @@ def variant_keys(words: Column) -> Column:
     return F.concat(blank, dropped, F.array(F.struct(F.lit(2).alias("kind"), F.xxhash64(words).alias("key"))))
 
 
+def _sized(small: DataFrame, rows: int) -> DataFrame:
+    """The smaller side of a join: sent to all tasks if its rows, which were counted, are few; else dealt out with the other."""
+    return F.broadcast(small) if rows <= MOST_SENT_ROWS else small.hint("shuffle_hash")
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """rank, line_no, h1, h2, words, low, high: one row for each line text that shares a half with another line text."""
+    long = read_lines(docs).filter(F.size("words") >= LEAST_WORDS)
+    halves = long.select("rank", "line_no", "h1", F.explode(half_keys(F.col("words"))).alias("half")).select("rank", "line_no", "h1", "half.*")
+    met = halves.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).filter("least <> most").select("key")
+    alive = durable(halves.join(met, "key").groupBy("rank", "line_no").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    texts = worded(raw_lines(docs).select("rank", "line_no", "line").join(_sized(alive, alive.count()), ["rank", "line_no"]))
+    w = F.struct("rank", "line_no")
+    first = texts.groupBy("h1", "h2").agg(F.min(F.struct(w.alias("p"), "line")).alias("f"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return durable(first.select("f.p.rank", "f.p.line_no", "h1", "h2", _words(F.col("f.line")).alias("words"), "low", "high"))
+
+
 def earliest(docs: DataFrame) -> DataFrame:
     """(h1, h2, from_rank, from_line): for each line text with an equal or near line, where the first of those stands."""
     at = F.struct("rank", "line_no")
-    distinct = durable(
-        read_lines(docs).groupBy("h1", "h2", half_keys(F.col("words")).alias("halves")).agg(F.min(at).alias("p"), F.count(F.lit(1)).alias("n"))
-    )
-    halves = distinct.select("h1", "h2", "p", F.explode("halves").alias("half"))
-    met = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
-    alive = halves.join(met, "half").select("h1", "h2", "p.rank", "p.line_no").distinct()
-    texts = read_lines(docs).filter(F.size("words") >= LEAST_WORDS).select("rank", "line_no", "h1", "h2", "words")
-    held = durable(texts.join(alive.hint("shuffle_hash"), ["rank", "line_no", "h1", "h2"]).dropDuplicates(["h1", "h2"]))
-    variants = held.select("h1", "h2", at.alias("p"), F.explode(variant_keys(F.col("words"))).alias("v")).select("h1", "h2", "p", "v.kind", "v.key")
-    shared = durable(variants.withColumn("way", F.when(F.col("kind") == 0, 0).otherwise(1)))
-    first = shared.groupBy("way", "key").agg(
-        F.min(F.when(F.col("kind") == 0, F.col("p"))).alias("blank"), F.min(F.when(F.col("kind") == 1, F.col("p"))).alias("dropped"),
-        F.min(F.when(F.col("kind") == 2, F.col("p"))).alias("full"), F.min("h1").alias("low"), F.max("h1").alias("high"),
-    ).filter("low <> high")
+    equal = read_lines(docs).groupBy("h1", "h2").agg(F.min(at).alias("p"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "p")
+    held = candidates(docs)
+    variants = held.select("h1", at.alias("p"), F.explode(variant_keys(F.col("words"), F.col("low"), F.col("high"))).alias("v"))
+    shared = variants.select("h1", "p", "v.kind", F.xxhash64(F.col("v.kind") == 0, F.col("v.key")).alias("key"))
+    least = [F.min(F.when(F.col("kind") == k, F.col("p"))).alias(n) for k, n in ((0, "blank"), (1, "dropped"), (2, "full"))]
+    first = shared.groupBy("key").agg(*least, F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").drop("low", "high")
     other = F.when(F.col("kind") == 0, F.col("blank")).when(F.col("kind") == 1, F.col("full")).otherwise(F.col("dropped"))
-    near = shared.join(first, ["way", "key"]).withColumn("other", other).filter("other < p").select("h1", "h2", "p", "other").distinct()
-    words = held.select(F.struct("rank", "line_no").alias("other"), F.col("words").alias("theirs"))
-    own = held.select("h1", "h2", F.col("words").alias("mine"))
-    proven = near.join(words, "other").join(own, ["h1", "h2"]).filter(_edit_within_one(F.col("mine"), F.col("theirs")))
-    sources = proven.groupBy("h1", "h2").agg(F.min("other").alias("other"))
-    found = distinct.filter("n > 1").select("h1", "h2", "p").unionByName(sources.select("h1", "h2", F.col("other").alias("p")))
+    near = shared.join(first, "key").withColumn("other", other).filter("other < p").select("p", "other").distinct()
+    theirs = held.select(at.alias("other"), F.col("words").alias("theirs"))
+    mine = held.select(at.alias("p"), "h1", "h2", F.col("words").alias("mine"))
+    proven = near.join(theirs, "other").join(mine, "p").filter(_edit_within_one(F.col("mine"), F.col("theirs")))
+    found = equal.unionByName(proven.select("h1", "h2", F.col("other").alias("p")))
     return found.groupBy("h1", "h2").agg(F.min("p").alias("p")).select("h1", "h2", F.col("p.rank").alias("from_rank"), F.col("p.line_no").alias("from_line"))
 
 
