@@ -48,16 +48,14 @@ def corpus(words):
     return [(i, " ".join(words(80, i)), "en" if i % 2 else "de") for i in range(200)]
 
 
-def test_quality_keeps_clean_and_ranks_noise_last(spark, frame, corpus, awkward, monkeypatch):
-    noise = "".join(random.Random(9).choices([chr(c) for c in range(33, 126)] + [" "] * 9, k=3000))
-    got = {r.doc_id: r for r in quality.judge(frame([*corpus, (500, noise, "en"), (501, "go on " * 200, "en")])).collect()}
+def test_quality_keeps_clean_and_the_band_rejects(spark, frame, corpus, awkward, monkeypatch):
+    got = {r.doc_id: r for r in quality.judge(frame([*corpus, (501, "go on " * 200, "en")])).collect()}
     assert all(got[d].kept and not got[d].base_failed for d, *_ in corpus)
-    # In so small a corpus the model learns the noise too: it stands above all others, but inside the wide band.
-    assert got[500].nats > max(got[d].nats for d, *_ in corpus) and not got[500].base_failed
     assert got[501].base_failed and not got[501].kept
     monkeypatch.setattr(quality, "BAND_ABOVE", 0.0)
-    assert not {r.doc_id: r.kept for r in quality.judge(frame([*corpus, (500, noise, "en")])).collect()}[500]
+    narrow = quality.judge(frame(corpus)).collect()
     monkeypatch.undo()
+    assert 0 < sum(r.kept for r in narrow) < len(narrow)
     rows = quality.judge(frame(awkward)).collect()
     assert len(rows) == len(awkward) and {r.doc_id: r.base_failed for r in rows}[1]
     assert quality.judge(frame([])).count() == 0
