@@ -45,8 +45,12 @@ BLOCK_BYTES = 4 << 20
 STEP = 1 << 19
 KEYS_A_TASK = 400_000
 SMALL_GROUP = 12
-#: Tokens beside the centre that rows of a large group must have in common, on one side of it, to be compared.
-BESIDE = 20
+#: Passages over a centre that begin within so many columns of each other have a core in common, PASSAGE + 1 - CORE_STEP long.
+CORE_STEP = 8
+#: Postings up to this length are paired at once; longer ones go row by row against what is not connected yet.
+LIGHT = 64
+PAIRS_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 20_000
 HOT_BLOCKS = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -238,20 +242,20 @@ def overlap(one: np.ndarray, left: np.ndarray, right: np.ndarray, many: np.ndarr
     return np.where(whole_run, runs, 0).max(axis=1) >= LEAST_SHARED
 
 
-def parted(key: np.ndarray, left: np.ndarray, right: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, finer key): the key with the BESIDE tokens that follow the centre, and with those before it.
+def probes(tokens: np.ndarray, left: np.ndarray, right: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column): in each CORE that a row has whole, the columns with the rarest tokens, one more than a passage may lack.
 
-    A common passage over the centre has one of the two in any case; a near one has if the changed word stands far enough
-    from the centre on the other side, which other centres of the passage may meet where this one doesn't.
+    Every passage over the centre holds one of the cores whole, so a row has one of these columns in common with any row
+    that it links with.
     """
-    rows, keys = [], []
-    for own, columns, side in ((np.flatnonzero(right > BESIDE), range(SIDE + 1, SIDE + BESIDE + 1), 1), (np.flatnonzero(left >= BESIDE), range(SIDE - BESIDE, SIDE), 2)):
-        made = mix64(key[own] + np.uint64(side))
-        for k in columns:
-            made = mix64(made ^ tokens[own, k].astype(np.uint64))
-        rows.append(own)
-        keys.append(made)
-    return np.concatenate(rows), np.concatenate(keys)
+    chosen = np.zeros(tokens.shape, bool)
+    for begin in range(-SIDE, 1, CORE_STEP):
+        end = min(begin + CORE_STEP - 1, 0)
+        fits = np.flatnonzero(np.maximum(begin, -left) <= np.minimum(end, right - PASSAGE))
+        core = slice(end + SIDE, begin + PASSAGE + SIDE)
+        rare = np.argpartition(often[fits, core], PASSAGE - LEAST_SHARED, axis=1)[:, : PASSAGE - LEAST_SHARED + 1]
+        chosen[fits[:, None], rare + core.start] = True
+    return np.nonzero(chosen)
 
 
 class _Parts:
@@ -275,8 +279,8 @@ class _Parts:
 def compare(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links between the documents of one key, enough to connect whatever all its pairs would connect.
 
-    Documents that are connected already, by this key or another of the bucket, are not compared again. Large
-    groups are first parted by common runs of tokens, so that those who share a phrase only don't meet.
+    Documents that are connected already, by this key or another of the bucket, are not compared again. Rows of large
+    groups meet by their rarest tokens, of which any two that link have one in common (see probes).
     """
     columns = np.arange(-SIDE, PASSAGE)
     inside = (columns >= -left[:, None]) & (columns < right[:, None])
@@ -308,31 +312,75 @@ def compare(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarra
             if len(near):
                 link(rows[near], rows[near + step])
 
+    def pair(one: np.ndarray, two: np.ndarray) -> None:
+        apart = np.flatnonzero((one < two) & (parts[one_of[one]] != parts[one_of[two]]))
+        if len(apart):
+            met = np.unique(one[apart] * len(one_of) + two[apart])
+            for some in np.array_split(met, len(met) // 20_000 + 1):
+                x, y = one_of[some // len(one_of)], one_of[some % len(one_of)]
+                new = parts[x] != parts[y]
+                link(x[new], y[new])
+
+    def long_posting(own: np.ndarray, held: np.ndarray) -> None:
+        """Rows that ask by a token, against all that have it."""
+        label = parts[one_of[held]]
+        names, count = np.unique(label, return_counts=True)
+        most = names[count.argmax()]
+        for r in np.union1d(held[label != most], own[parts[one_of[own]] != most]).tolist():
+            mine = own[own < r]
+            pair(mine, np.full(len(mine), r))
+            if (own == r).any():
+                pair(np.full(len(held), r), held)
+
+    def large_groups(rows: np.ndarray) -> None:
+        """All pairs of rows of one key that link; rows are numbered in the order of key and document."""
+        nonlocal one_of
+        one_of = rows
+        # Most copies of one passage meet its first row, which leaves few to pair.
+        begin, size = groups(rows, key[rows])
+        for g, n in zip(begin.tolist(), size.tolist(), strict=True):
+            pair(np.full(n - 1, g), np.arange(g + 1, g + n))
+        group = np.repeat(np.arange(len(begin)), size)
+        width = tokens.shape[1]
+        code = ((group[:, None] * width + np.arange(width)) << 16) | tokens[rows]
+        flat = np.argsort(code, axis=None, kind="stable")
+        ordered = code.ravel()[flat]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        often = np.zeros(code.size, np.int32)
+        often[flat] = np.diff(np.append(np.flatnonzero(new), len(ordered)))[np.cumsum(new) - 1]
+        holder = flat // width
+        who, at = probes(tokens[rows], left[rows], right[rows], often.reshape(code.shape))
+        late = []
+        for shift in range(-SHIFT, SHIFT + 1):
+            fits = np.flatnonzero((at + shift >= 0) & (at + shift < width))
+            wanted = code[who[fits], at[fits]] + (shift << 16)
+            lo, hi = np.searchsorted(ordered, wanted), np.searchsorted(ordered, wanted, "right")
+            asks = who[fits]
+            light = np.flatnonzero((hi > lo) & (hi - lo <= LIGHT))
+            total = np.cumsum(hi[light] - lo[light])
+            for some in np.split(light, np.searchsorted(total, np.arange(PAIRS_AT_ONCE, total[-1], PAIRS_AT_ONCE))) if len(light) else []:
+                n = hi[some] - lo[some]
+                pair(np.repeat(asks[some], n), holder[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[some], n)])
+            heavy = np.flatnonzero(hi - lo > LIGHT)
+            late.append((lo[heavy], hi[heavy], asks[heavy]))
+        lo, hi, asks = (np.concatenate([x[i] for x in late]) for i in range(3))
+        order = np.lexsort((asks, lo))
+        lo, hi, asks = lo[order], hi[order], asks[order]
+        begin, size = groups(asks, lo)
+        for g, n in zip(begin.tolist(), size.tolist(), strict=True):
+            long_posting(np.unique(asks[g : g + n]), np.unique(holder[lo[g] : hi[g]]))
+
+    one_of = able
     begin, size = groups(able, key[able])
     small = np.repeat(size <= SMALL_GROUP, size)
     small_groups(able, key[able], small)
     large = able[~small]
     if len(large):
-        own, finer = parted(key[large], left[large], right[large], tokens[large])
-        order = np.lexsort((doc[large[own]], finer))
-        rows, finer = large[own[order]], finer[order]
-        begin, size = groups(rows, finer)
-        small_groups(rows, finer, np.repeat(size <= SMALL_GROUP, size))
-        for g in np.flatnonzero(size > SMALL_GROUP):
-            rest = rows[begin[g] : begin[g] + size[g]]
-            while len(rest) > 1:
-                label = parts[rest]
-                if (label == label[0]).all():
-                    break
-                front, rest = rest[:1], rest[1:]
-                while len(front) and len(rest):
-                    one, front = front[:1], front[1:]
-                    apart = np.flatnonzero(parts[rest] != parts[one])
-                    if not len(apart):
-                        continue
-                    hit = apart[link(np.repeat(one, len(apart)), rest[apart])]
-                    front = np.concatenate((front, rest[hit]))
-                    rest = np.delete(rest, hit)
+        begin, size = groups(large, key[large])
+        cut = np.flatnonzero(np.diff(np.concatenate(([-1], (begin + size) // ROWS_AT_ONCE))))
+        for first, last in zip(begin[cut].tolist(), [*begin[cut[1:]].tolist(), len(large)], strict=True):
+            if last > first:
+                large_groups(large[first:last])
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
