@@ -7,7 +7,7 @@ few keys. Then:
 
 1. Which keys (hash function, least token) stand in several documents?
 2. In each document, an interval join across the hash functions: a passage of PASSAGE tokens stays if
-   ENOUGH functions have a shared centre in its middle. Of centres in such passages (of the first ENTRY functions) a
+   ENOUGH functions have a shared centre in its middle. Of centres in such passages (of ENTRY functions, which are all) a
    hash of the tokens around goes out; equal surroundings link a document to the first that has them.
 3. Different surroundings of one key are compared: a link needs a common passage, or an overlap of LEAST_OVERLAP between two.
 
@@ -33,8 +33,9 @@ SHINGLE = 5
 PASSAGE = WORDS - SHINGLE + 1
 HALF = PASSAGE // 2
 HASHES = 6
-ENTRY = 2
-ENOUGH = 4
+#: Functions whose centres go out, and functions that must have a shared centre in a passage's middle.
+ENTRY = HASHES
+ENOUGH = 1
 LEAST_OVERLAP = 0.8
 #: Tokens that two passages of PASSAGE tokens share at that overlap.
 LEAST_SHARED = int(np.ceil(2 * PASSAGE * LEAST_OVERLAP / (1 + LEAST_OVERLAP)))

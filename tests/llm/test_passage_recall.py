@@ -80,3 +80,18 @@ def test_large_groups_of_many_copies_and_edges():
     assert 3 < len(set(want)) < n
     a, b = passages.compare(np.zeros(n, np.uint64), np.arange(n), left, right, tokens)
     assert roots(n, zip(a.tolist(), b.tolist(), strict=True)) == want
+
+
+def test_no_near_copy_is_lost_wherever_its_word_changed(spark, frame, words):
+    """Pairs of documents with a passage of 50 words, one of them changed; other words around it."""
+    rows, want = [], {}
+    for word in range(passages.WORDS):
+        for k in range(8):
+            seed = 10_000 + 100 * word + 10 * k
+            passage = words(passages.WORDS, seed)
+            changed = [*passage[:word], "changed", *passage[word + 1 :]]
+            first = 2 * (8 * word + k)
+            rows += [(first, " ".join(words(60, seed + 1) + passage + words(60, seed + 2))), (first + 1, " ".join(words(60, seed + 3) + changed + words(60, seed + 4)))]
+            want |= {first: first, first + 1: first}
+    got = {r.doc_id: r.class_id for r in passages.passage_classes(frame(rows)).collect()}
+    assert got == want
