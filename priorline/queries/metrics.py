@@ -78,7 +78,7 @@ def cluster_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.bootstrap_interval(M.cluster_losses(scored(spark, sf_dir), "series_id"), iterations=200)
+    return M.bootstrap_interval(M.cluster_losses(scored(spark, sf_dir), "series_id"))
 
 
 @query(f"WITH {SCORED_SQL} SELECT series_id, round(sum(loss - loss2), 6) AS loss, count(*) AS n FROM x GROUP BY series_id")
