@@ -9,10 +9,12 @@ a copy may lack, so no copy within the limit is missed. Kept pairs are verified
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +97,8 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     threshold = np.full(-(-max(len(bags), 1) // BLOCK) * BLOCK, np.inf)
     for i, bag in enumerate(bags):
         weights = sorted(idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[i] / mean)) for w, n in bag.items())
-        lacking = int((1 - LEAST_OVERLAP) * max(1, lengths[i] - SHINGLE + 1))
+        runs = max(1, int(lengths[i]) - SHINGLE + 1)
+        lacking = runs - math.ceil(Fraction(str(LEAST_OVERLAP)) * runs)
         threshold[i] = max(sum(weights[: len(weights) - lacking]) - 1e-6, 1e-9)
     return Index(
         [i for i, _ in parts], [qa for _, qa in parts], term, np.array(sorted(top.values())), entry,
