@@ -2,8 +2,8 @@
 
 Spark counts the trigrams of every whole text, language by language, over 64 classes of bytes; a modified
 Kneser-Ney model is fitted for each language and kept as sorted arrays of hashed n-grams with
-their log-probabilities. A document is rejected by the base rules, or because its perplexity lies outside
-the band of its language.
+their log-probabilities. A document is rejected by the base rules, or because its perplexity lies below the
+band of its language, or above it segment by segment even if each may follow the model of all languages together.
 """
 
 from __future__ import annotations
@@ -30,11 +30,13 @@ CELLS = CLASSES**3
 #: Languages whose counts or models are in memory at once.
 LANGUAGES_AT_ONCE = 32
 #: The band's ends in robust standard deviations below and above the language's median, and the bytes at which
-#: a text's own noise doubles the variance. Good texts that quote another language stand up to 55 above, texts that
-#: say one thing over and over 8 and more below, and noise without any language about 100 above.
+#: a text's own noise doubles the variance. The lower end is for nats, where texts that say one thing over and over stand 8
+#: and more below; the upper end is for eased nats, where a quoted language counts by the pooled model.
 BAND_BELOW = 8.0
-BAND_ABOVE = 80.0
+BAND_ABOVE = 16.0
 NOISE_BYTES = 400.0
+#: Trigrams of one segment, which the upper end takes by the better of the language's and the pooled model.
+SEGMENT = 64
 #: Perplexities meet in bins of so many parts of a nat for the band's median and spread.
 BINS = 1000
 
@@ -190,24 +192,36 @@ def base_metrics(body: bytes) -> tuple[int, int, int, int, int]:
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def score(docs: DataFrame, models: dict[str, tuple[bytes, bytes]], carry: tuple[str, ...], text: str = "text", lang: str = "lang") -> DataFrame:
-    """The carried columns, lang, the base metrics, n_grams and nats (mean surprise of a trigram; null without any)."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+def eased(own: np.ndarray, pooled: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Mean surprise of each run first:last of trigrams, segment by segment the less of its language's and the pooled model's."""
+    n = -(-(last - first) // SEGMENT)
+    whose = np.repeat(np.arange(len(first)), n)
+    begin = first[whose] + SEGMENT * (np.arange(len(whose)) - np.repeat(np.cumsum(n) - n, n))
+    end = np.minimum(begin + SEGMENT, last[whose])
+    least = np.minimum(own[begin] - own[end], pooled[begin] - pooled[end])
+    return np.bincount(whose, least, len(first)) / np.maximum(last - first, 1)
+
+
+def score(docs: DataFrame, models: dict[str, tuple[bytes, bytes]], pooled: tuple[bytes, bytes] | None, carry: tuple[str, ...], text: str = "text", lang: str = "lang") -> DataFrame:
+    """The carried columns, lang, the base metrics, n_grams, nats (mean surprise of a trigram; null without any) and eased nats."""
+    sent = docs.sparkSession.sparkContext.broadcast((models, pooled))
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
+        models, pooled = sent.value
+        common = table_of(*pooled) if pooled else None
         for batch in batches:
             bodies = batch.column(batch.num_columns - 1).cast(pa.binary())
             metrics = np.array([base_metrics(x.as_py()) for x in bodies], np.int64).reshape(-1, 5)
             names = batch.column(batch.num_columns - 2)
-            grams, nats = np.zeros(len(batch), np.int64), np.full(len(batch), np.nan)
+            grams, nats, easy = np.zeros(len(batch), np.int64), np.full(len(batch), np.nan), np.full(len(batch), np.nan)
             rows = np.arange(len(batch))
             for name in pc.unique(names).to_pylist():
-                if name not in sent.value:
+                if name not in models:
                     continue
                 if name not in tables:
-                    tables[name] = table_of(*sent.value[name])
+                    tables[name] = table_of(*models[name])
                 mine = pc.equal(names, name)
                 at = rows[mine.to_numpy(zero_copy_only=False)]
                 own = batch.filter(mine)
@@ -218,17 +232,19 @@ def score(docs: DataFrame, models: dict[str, tuple[bytes, bytes]], carry: tuple[
                     n = last - first
                     grams[at[step.rows]] = n
                     nats[at[step.rows]] = np.where(n > 0, -(sums[last] - sums[first]) / np.maximum(n, 1), np.nan)
-            arrays = [*batch.columns[:-1], *[pa.array(metrics[:, i]) for i in range(5)], pa.array(grams), pa.array(nats, from_pandas=True)]
-            yield pa.RecordBatch.from_arrays(arrays, [*carry, "lang", *METRICS, "n_grams", "nats"])
+                    others = np.concatenate(([0.0], np.cumsum(common[codes], dtype=np.float64)))
+                    easy[at[step.rows]] = np.where(n > 0, eased(sums, others, first, last), np.nan)
+            arrays = [*batch.columns[:-1], *[pa.array(metrics[:, i]) for i in range(5)], pa.array(grams), pa.array(nats, from_pandas=True), pa.array(easy, from_pandas=True)]
+            yield pa.RecordBatch.from_arrays(arrays, [*carry, "lang", *METRICS, "n_grams", "nats", "eased"])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "lang string", *(f"{m} long" for m in METRICS), "n_grams long", "nats double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "lang string", *(f"{m} long" for m in METRICS), "n_grams long", "nats double", "eased double"])
     columns = [*carry, whole(F.col(lang).cast("string")).alias("_lang"), whole(text).alias("text")]
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def bands(scored: DataFrame) -> DataFrame:
-    """(lang, centre, spread): the median of nats and its robust deviation, from counts of fine bins."""
-    bins = scored.filter("nats is not null").groupBy("lang", F.round(F.col("nats") * BINS).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def bands(scored: DataFrame, of: str = "nats") -> DataFrame:
+    """(lang, centre, spread): the median of a column and its robust deviation, from counts of fine bins."""
+    bins = scored.filter(F.col(of).isNotNull()).groupBy("lang", F.round(F.col(of) * BINS).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     centre = bins.groupBy("lang").agg(F.expr("percentile(bin, 0.5, n)").alias("centre"))
     apart = bins.join(centre, "lang").withColumn("apart", F.abs(F.col("bin") - F.col("centre")))
     spread = apart.groupBy("lang").agg(F.first("centre").alias("centre"), F.expr("percentile(apart, 0.5, n)").alias("apart"))
@@ -244,19 +260,27 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "te
     A model has at most 64**3 entries, so at most LANGUAGES_AT_ONCE times 3 MB are sent to an
     executor at once; with more languages the scoring goes over them in blocks.
     """
-    models = durable(count_trigrams(docs, text, lang).groupBy("lang").applyInPandas(fit, "lang string, hashes binary, logs binary"))
+    counts = durable(count_trigrams(docs, text, lang))
+    kind = "lang string, hashes binary, logs binary"
+    models = durable(counts.groupBy("lang").applyInPandas(fit, kind))
+    every = counts.groupBy(F.lit("").alias("lang"), "code").agg(F.sum("n").alias("n")).groupBy("lang").applyInPandas(fit, kind).first()
+    pooled = (bytes(every["hashes"]), bytes(every["logs"])) if every else None
     names = sorted(r["lang"] for r in models.select("lang").collect())
     blocks = [names[i : i + LANGUAGES_AT_ONCE] for i in range(0, len(names), LANGUAGES_AT_ONCE)] or [[]]
     parts = []
     for block in blocks:
         loaded = {r["lang"]: (bytes(r["hashes"]), bytes(r["logs"])) for r in models.filter(F.col("lang").isin(block)).collect()} if block else {}
         own = docs if len(blocks) == 1 else docs.filter(whole(F.col(lang).cast("string")).isin(block))
-        parts.append(score(own, loaded, carry, text, lang))
+        parts.append(score(own, loaded, pooled, carry, text, lang))
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.unionByName(part)
     scored = durable(scored)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     unit = F.col("spread") * F.sqrt(1 + F.lit(NOISE_BYTES) / F.greatest("n_grams", F.lit(1)))
-    odd = F.coalesce(~((F.col("nats") - F.col("centre")) / unit).between(-BAND_BELOW, BAND_ABOVE), F.lit(False))
-    return scored.join(bands(scored), "lang", "left").select(*carry, *METRICS, failed.alias("base_failed"), (~failed & ~odd).alias("kept"), "nats", F.exp("nats").alias("perplexity"))
+    low = (F.col("nats") - F.col("centre")) / unit < -BAND_BELOW
+    high = (F.col("eased") - F.col("high_centre")) / (unit / F.col("spread") * F.col("high_spread")) > BAND_ABOVE
+    odd = F.coalesce(low | high, F.lit(False))
+    upper = bands(scored, "eased").select("lang", F.col("centre").alias("high_centre"), F.col("spread").alias("high_spread"))
+    judged = scored.join(bands(scored), "lang", "left").join(upper, "lang", "left")
+    return judged.select(*carry, *METRICS, failed.alias("base_failed"), (~failed & ~odd).alias("kept"), "nats", F.exp("nats").alias("perplexity"))
