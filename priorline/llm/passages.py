@@ -1,17 +1,23 @@
 """Near-duplicate passages, by compact windows over token min-hashes.
 
-Tokens are runs of five words. For each of HASHES hash functions, a position is the centre of a compact window if
-it has the least hash in some run of HALF tokens: a node of the Cartesian tree over the hashes whose subtree is that long.
-All runs that hold the centre within its window share one signature, so a passage meets its near copies under
-few keys. Then:
-
-1. Which keys (hash function, least token) stand in several documents?
-2. In each document, an interval join across the hash functions: a passage of PASSAGE tokens stays if
-   ENOUGH functions have a shared centre in its middle. Of centres in such passages (of ENTRY functions, which are all) a
-   hash of the tokens around goes out; equal surroundings link a document to the first that has them.
-3. Different surroundings of one key are compared: a link needs a common passage, or an overlap of LEAST_OVERLAP between two.
-
-Linked documents form classes. Equal surroundings meet as one, so copies aren't expanded into pairs.
+Tokens are runs of five words; a passage is PASSAGE of them. Two passages are near-duplicates if LEAST_SHARED tokens
+agree in order and stand in at most two blocks in each: so many agree at 0.8, and a word changed, added or dropped inside
+a passage costs four or five tokens, so a second one is beyond the limit; what differs at the ends costs one by one.
+The longer block of such a pair is a common run of at least CORE tokens.
+
+For each of HASHES hash functions, a position is the centre of a compact window if it has the least hash in some run of
+CORE tokens: a node of the Cartesian tree over the hashes whose subtree is that long. A common run of CORE tokens has
+the same centres on both sides under every function, which makes the search complete:
+
+1. Which keys (hash function, centre's token) stand in several documents?
+2. In each document, an interval join across the hash functions: a run of CORE tokens stays if the centre of
+   every function's window over it is shared. Of the first function's centres in such runs a hash of the tokens around
+   goes out; equal surroundings link a document to the first that has them.
+3. Different surroundings of one key meet by the hashes of what a near-duplicate pair has in common: LEAST_SHARED tokens
+   in one block, or in two. Rows are sorted by such hashes and linked to their neighbours, token by token
+   verified, so a group costs its rows and not its pairs.
+
+Linked documents form classes.
 """
 
 from __future__ import annotations
@@ -31,31 +37,22 @@ from priorline.llm.dealing import BITS, PACKED, answers_of, bits, block_number,
 WORDS = 50
 SHINGLE = 5
 PASSAGE = WORDS - SHINGLE + 1
-HALF = PASSAGE // 2
-HASHES = 6
-#: Functions whose centres go out, and functions that must have a shared centre in a passage's middle.
-ENTRY = HASHES
-ENOUGH = 1
 LEAST_OVERLAP = 0.8
-#: Tokens that two passages of PASSAGE tokens share at that overlap.
-LEAST_SHARED = int(np.ceil(2 * PASSAGE * LEAST_OVERLAP / (1 + LEAST_OVERLAP)))
-#: An inserted or dropped word moves what follows; so far apart tokens still count as shared.
-SHIFT = 3
+#: Tokens that two passages share at that overlap, and may each have besides.
+LEAST_SHARED = -(-8 * PASSAGE // 9)
+SPARE = PASSAGE - LEAST_SHARED
+CORE = -(-LEAST_SHARED // 2)
+HASHES = 4
 SIDE = PASSAGE - 1
+_WIDTH = SIDE + PASSAGE
 BLOCK_BYTES = 4 << 20
 STEP = 1 << 19
 KEYS_A_TASK = 400_000
-SMALL_GROUP = 12
-#: Passages over a centre that begin within so many columns of each other have a core in common, PASSAGE + 1 - CORE_STEP long.
-CORE_STEP = 8
-#: Postings up to this length are paired at once; longer ones go row by row against what is not connected yet.
-LIGHT = 64
-PAIRS_AT_ONCE = 1 << 20
-ROWS_AT_ONCE = 20_000
 HOT_BLOCKS = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def tokens_of(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +62,7 @@ def tokens_of(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums = np.zeros(n + 1, np.uint64)
     up = powers(n + 1)
     np.cumsum((_LOWER[texts.data].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    down = powers(n + 1, np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
+    down = powers(n + 1, _UNBASE)
     word = mix64((sums[stop] - sums[start]) * down[start] ^ (stop - start).astype(np.uint64))
     made = np.zeros(max(len(word) - SHINGLE + 1, 0), np.uint64)
     for k, weight in enumerate(mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64))):
@@ -80,27 +77,29 @@ def tokens_of(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix64(made[np.cumsum(inside)[: len(made)] > 0]), ends - count, ends
 
 
-def centres(values: np.ndarray, start: np.ndarray, stop: np.ndarray, length: int = HALF) -> np.ndarray:
-    """Positions with the least value in some run of so many within one row: the Cartesian tree's nodes of that size."""
-    n = len(values)
-    if n < length:
-        return np.zeros(0, np.int64)
+def least_in_run(values: np.ndarray, length: int = CORE) -> np.ndarray:
+    """For each place, the least value of the run of so many that starts there; runs past the end are cut."""
     low, have = values.copy(), 1
     while have < length:
         s = min(have, length - have)
         low[:-s] = np.minimum(low[:-s], low[s:])
         have += s
-    edge = np.zeros(n + 1, np.int32)
-    long = stop - start >= length
-    np.add.at(edge, start[long], 1)
-    np.add.at(edge, stop[long] - length + 1, -1)
-    low[np.cumsum(edge)[:n] <= 0] = 0
-    have = 1
+    return low
+
+
+def centres(values: np.ndarray, low: np.ndarray, runs: np.ndarray, length: int = CORE) -> np.ndarray:
+    """Places with the least value of some run that `runs` marks the start of."""
+    high, have = np.where(runs, low, 0).astype(np.uint64), 1
     while have < length:
         s = min(have, length - have)
-        low[s:] = np.maximum(low[s:], low[:-s])
+        high[s:] = np.maximum(high[s:], high[:-s])
         have += s
-    return np.flatnonzero((low == values) & (low > 0))
+    return np.flatnonzero((high == values) & (high > 0))
+
+
+def _values(tokens: np.ndarray, function: int) -> np.ndarray:
+    """A function's hashes: even and above zero, so that the last bit is free."""
+    return (mix64(tokens ^ np.uint64((function + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) | np.uint64(2)) & ~np.uint64(1)
 
 
 @dataclass
@@ -111,6 +110,7 @@ class Block:
     tokens: np.ndarray
     start: np.ndarray
     stop: np.ndarray
+    runs: np.ndarray
     at: np.ndarray
     function: np.ndarray
     row: np.ndarray
@@ -128,26 +128,31 @@ class Block:
         ends = np.frombuffer(offsets, np.int64)[bodies.offset : bodies.offset + len(bodies) + 1]
         raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         parts, starts, stops, base, first = [np.zeros(0, np.uint64)], [], [], 0, 0
-        at, function, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         while first < len(docs):
             last = max(first + 1, int(np.searchsorted(ends, ends[first] + STEP, "right")) - 1)
-            own = Texts(raw[ends[first] : ends[last]], ends[first:last] - ends[first], ends[first + 1 : last + 1] - ends[first], slice(first, last))
-            made, a, b = tokens_of(own)
-            for f in range(HASHES):
-                values = mix64(made ^ np.uint64((f + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) | np.uint64(1)
-                places = centres(values, a, b)
-                at.append(places + base)
-                function.append(np.full(len(places), f))
-                key.append((mix64(values[places] + np.uint64(f)) >> (np.uint64(64) - BITS)) + np.uint64(1))
+            made, a, b = tokens_of(Texts(raw[ends[first] : ends[last]], ends[first:last] - ends[first], ends[first + 1 : last + 1] - ends[first], slice(first, last)))
             parts.append(made)
             starts.append(a + base)
             stops.append(b + base)
             base += len(made)
             first = last
         start, stop = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, stops))
+        tokens = np.concatenate(parts)
+        edge = np.zeros(len(tokens) + 1, np.int32)
+        long = stop - start >= PASSAGE
+        np.add.at(edge, start[long], 1)
+        np.add.at(edge, stop[long] - CORE + 1, -1)
+        runs = np.cumsum(edge)[: len(tokens)] > 0
+        at, function, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for f in range(HASHES if len(tokens) else 0):
+            values = _values(tokens, f)
+            places = centres(values, least_in_run(values), runs)
+            at.append(places)
+            function.append(np.full(len(places), f))
+            key.append((mix64(values[places] + np.uint64(f)) >> (np.uint64(64) - BITS)) + np.uint64(1))
         places = np.concatenate(at)
         keys, key_of = np.unique(np.concatenate(key), return_inverse=True)
-        return cls(docs[order], np.concatenate(parts), start, stop, places, np.concatenate(function), np.searchsorted(stop, places, "right"), keys, key_of)
+        return cls(docs[order], tokens, start, stop, runs, places, np.concatenate(function), np.searchsorted(stop, places, "right"), keys, key_of)
 
     def shared_here(self) -> np.ndarray:
         ids = self.docs[self.row] if len(self.row) else self.row
@@ -156,6 +161,26 @@ class Block:
         np.maximum.at(most, self.key_of, ids)
         return least < most
 
+    def alive(self, shared: np.ndarray) -> np.ndarray:
+        """The interval join: the first function's centres (places in `at`) of runs over which all functions' centres are shared."""
+        runs, low = self.runs.copy(), self.runs
+        for f in range(HASHES - 1, -1, -1):
+            own = self.function == f
+            values = _values(self.tokens, f)
+            told = values.copy()
+            told[self.at[own]] |= shared[self.key_of[own]].astype(np.uint64)
+            low = least_in_run(told)
+            runs &= (low & np.uint64(1)) > 0
+        first = np.flatnonzero(self.function == 0)
+        chosen = np.zeros(len(self.tokens), bool)
+        chosen[centres(values, low & ~np.uint64(1), runs)] = True
+        return first[chosen[self.at[first]]]
+
+
+def _name(key: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """A key for one part of a key's entries."""
+    return (mix64(key ^ mix64(part)) >> (np.uint64(64) - BITS)) + np.uint64(1)
+
 
 @dataclass
 class Entries:
@@ -171,6 +196,7 @@ class Entries:
     around: np.ndarray
     least: np.ndarray
     bucket: np.ndarray
+    base: np.ndarray
     hot: np.ndarray
 
     @classmethod
@@ -179,21 +205,19 @@ class Entries:
         answers = answers_of(replies, 1)
         for k, own in dealt(bucket_of(block.keys, buckets)):
             shared[own], hot[own] = unbits(answers[k], own.stop - own.start)
-        mine = np.flatnonzero(shared[block.key_of])
-        chosen = mine[_join(block, mine)] if len(mine) else mine
-        chosen = chosen[block.function[chosen] < ENTRY]
+        chosen = block.alive(shared) if len(block.tokens) else np.zeros(0, np.int64)
         at, row, keys = block.at[chosen], block.row[chosen], block.keys[block.key_of[chosen]]
         left = np.minimum(at - block.start[row], SIDE) if len(at) else at
         right = np.minimum(block.stop[row] - at, PASSAGE) if len(at) else at
         sums = np.zeros(len(block.tokens) + 1, np.uint64)
         np.cumsum(block.tokens * powers(len(block.tokens)), out=sums[1:])
-        down = powers(len(sums), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
+        down = powers(len(sums), _UNBASE)
         lo, hi = at - left, at + right
         around = mix64(((sums[hi] - sums[lo]) * down[lo]) ^ (left * 64 + right).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        # A hot key's entries are dealt by their surroundings; in step 3 they meet in pairs of sub-groups.
         is_hot = hot[block.key_of[chosen]] if len(chosen) else np.zeros(0, bool)
-        # What follows a centre (its next token) parts a hot key into groups that still meet in any common passage.
-        after = block.tokens[np.minimum(at + 1, max(len(block.tokens) - 1, 0))] if len(at) else keys
-        keys = np.where(is_hot, (mix64(keys ^ after) >> (np.uint64(64) - BITS)) + np.uint64(1), keys)
+        base = keys
+        keys = np.where(is_hot, _name(keys, around), keys)
         bucket = bucket_of(keys, buckets)
         ids = block.docs[row] if len(row) else row
         by = np.lexsort((at, ids, around, keys, bucket))
@@ -203,186 +227,147 @@ class Entries:
         entry = np.zeros(len(by), np.int64)
         entry[by] = np.cumsum(new) - 1
         first = by[new]
-        return cls(block, chosen, entry, left, right, first, keys[first], around[first], ids[first], bucket[first], is_hot[first])
-
-
-def _join(block: Block, mine: np.ndarray) -> np.ndarray:
-    """Which shared centres lie in the middle of a passage in whose middle ENOUGH functions have one."""
-    margin = (PASSAGE - HALF) // 2
-    n = len(block.tokens)
-    at, row = block.at[mine], block.row[mine]
-    low = np.maximum(at - (PASSAGE - 1 - margin), block.start[row])
-    high = np.minimum(at - margin, block.stop[row] - PASSAGE)
-    fits = low <= high
-    count = np.zeros(n + 1, np.int16)
-    for f in range(HASHES):
-        own = fits & (block.function[mine] == f)
-        edge = np.zeros(n + 1, np.int32)
-        np.add.at(edge, low[own], 1)
-        np.add.at(edge, high[own] + 1, -1)
-        count += np.cumsum(edge) > 0
-    good = np.concatenate(([0], np.cumsum(count[:n] >= ENOUGH)))
-    return np.flatnonzero(fits & (good[np.maximum(high, low) + 1] > good[np.minimum(low, n)]))
-
-
-def overlap(one: np.ndarray, left: np.ndarray, right: np.ndarray, many: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
-    """Which pairs of surroundings (tokens with the centre in column SIDE, 0 outside the text) have a common or near-common
-    passage over it; one row may stand for all on its side."""
-    width = many.shape[1]
-    shared = np.zeros(many.shape, bool)
-    for shift in range(-SHIFT, SHIFT + 1):
-        a = slice(max(0, shift), width + min(0, shift))
-        b = slice(max(0, -shift), width + min(0, -shift))
-        shared[:, a] |= one[:, a] == many[:, b]
-    shared &= one != 0
-    sums = np.zeros((len(many), width + 1), np.int16)
-    np.cumsum(shared, axis=1, out=sums[:, 1:])
-    runs = sums[:, PASSAGE:] - sums[:, :-PASSAGE]
-    begins = np.arange(-SIDE, 1)
-    whole_run = (begins >= -np.minimum(left, lefts)[:, None]) & (begins + PASSAGE <= np.minimum(right, rights)[:, None])
-    return np.where(whole_run, runs, 0).max(axis=1) >= LEAST_SHARED
-
-
-def probes(tokens: np.ndarray, left: np.ndarray, right: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column): in each CORE that a row has whole, the columns with the rarest tokens, one more than a passage may lack.
-
-    Every passage over the centre holds one of the cores whole, so a row has one of these columns in common with any row
-    that it links with.
-    """
-    chosen = np.zeros(tokens.shape, bool)
-    for begin in range(-SIDE, 1, CORE_STEP):
-        end = min(begin + CORE_STEP - 1, 0)
-        fits = np.flatnonzero(np.maximum(begin, -left) <= np.minimum(end, right - PASSAGE))
-        core = slice(end + SIDE, begin + PASSAGE + SIDE)
-        rare = np.argpartition(often[fits, core], PASSAGE - LEAST_SHARED, axis=1)[:, : PASSAGE - LEAST_SHARED + 1]
-        chosen[fits[:, None], rare + core.start] = True
-    return np.nonzero(chosen)
+        return cls(block, chosen, entry, left, right, first, keys[first], around[first], ids[first], bucket[first], base[first], is_hot[first])
 
 
-class _Parts:
-    """Which documents of a bucket are connected so far."""
+class Parts:
+    """Which documents are connected so far: a forest of labels, joined in bulk."""
 
     def __init__(self, doc: np.ndarray) -> None:
-        self.names, self.of = np.unique(doc, return_inverse=True)
-        self.label = np.arange(len(self.names))
-
-    def join(self, one: np.ndarray, two: np.ndarray) -> None:
-        """Connect documents pair by pair."""
-        for a, b in zip(self.of[one].tolist(), self.of[two].tolist(), strict=True):
-            x, y = self.label[a], self.label[b]
-            if x != y:
-                self.label[self.label == max(x, y)] = min(x, y)
+        names, self.of = np.unique(doc, return_inverse=True)
+        self.label = np.arange(len(names))
 
     def __getitem__(self, rows: np.ndarray) -> np.ndarray:
         return self.label[self.of[rows]]
 
+    def join(self, one: np.ndarray, two: np.ndarray) -> None:
+        while len(one):
+            a, b = self[one], self[two]
+            apart = a != b
+            one, two = one[apart], two[apart]
+            np.minimum.at(self.label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+            while True:
+                up = self.label[self.label]
+                if (up == self.label).all():
+                    break
+                self.label = up
+
+
+class Surroundings:
+    """Rows of tokens with their centre in column SIDE, read from left to right or from right to left."""
+
+    def __init__(self, key: np.ndarray, left: np.ndarray, right: np.ndarray, tokens: np.ndarray, flipped: bool = False) -> None:
+        self.tokens = tokens[:, ::-1] if flipped else tokens
+        self.before, self.after = (right - 1, left + 1) if flipped else (left, right)
+        self.key = mix64(key)
+        self.sums = np.zeros((len(key), _WIDTH + 1), np.uint64)
+        np.cumsum(mix64(self.tokens) * powers(_WIDTH), axis=1, out=self.sums[:, 1:])
+        self.undo = powers(_WIDTH + 1, _UNBASE)
+
+    def code(self, rows: np.ndarray, begin: int | np.ndarray, end: int | np.ndarray) -> np.ndarray:
+        """A hash of key and of the columns begin to end, counted from the centre."""
+        a, b = SIDE + begin, SIDE + end
+        return mix64((self.sums[rows, b] - self.sums[rows, a]) * self.undo[a] ^ self.key[rows])
+
+    def same(self, one: np.ndarray, two: np.ndarray, first: np.ndarray, second: np.ndarray, length: int) -> np.ndarray:
+        """Which pairs of rows have equal tokens from the given columns on."""
+        k = np.arange(length) + SIDE
+        return (self.tokens[one[:, None], first[:, None] + k] == self.tokens[two[:, None], second[:, None] + k]).all(axis=1)
+
+
+def _grouped(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts codes, where groups of equal ones begin, and for each place its group."""
+    order = np.argsort(code, kind="stable")
+    new = np.concatenate(([True], code[order][1:] != code[order][:-1])) if len(code) else np.zeros(0, bool)
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _mixed(code: np.ndarray, *values: np.ndarray) -> np.ndarray:
+    """Which rows belong to a group of equal codes in which each of the values differs between some rows."""
+    if not len(code):
+        return np.zeros(0, bool)
+    order, begin, group = _grouped(code)
+    out = np.ones(len(begin), bool)
+    for x in values:
+        x = x[order]
+        out &= np.minimum.reduceat(x, begin) != np.maximum.reduceat(x, begin)
+    told = np.zeros(len(code), bool)
+    told[order] = out[group]
+    return told
+
+
+def _neighbours(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order, _, group = _grouped(code)
+    at = np.flatnonzero(group[1:] == group[:-1])
+    return order[at], order[at + 1]
 
-def compare(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the documents of one key, enough to connect whatever all its pairs would connect.
 
-    Documents that are connected already, by this key or another of the bucket, are not compared again. Rows of large
-    groups meet by their rarest tokens, of which any two that link have one in common (see probes).
+def compare(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the documents of one key, enough to connect whatever all its pairs would connect."""
+    parts, a, b = Parts(doc), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def open_rows() -> np.ndarray:
+        """Rows of keys whose documents aren't all connected yet."""
+        rows = np.arange(len(key))
+        return rows[_mixed(key, parts[rows])]
+
+    def link(one: np.ndarray, two: np.ndarray) -> None:
+        a.append(doc[one])
+        b.append(doc[two])
+        parts.join(one, two)
+
+    view = Surroundings(key, left, right, tokens)
+    rows = open_rows()
+    # From the middle outwards: most common runs hold the middle, and what is connected is not compared again.
+    for n, r in enumerate(sorted(range(1, LEAST_SHARED + 1), key=lambda r: abs(2 * r - LEAST_SHARED))):
+        if n % 8 == 1:
+            rows = open_rows()
+        own = rows[(view.before[rows] >= LEAST_SHARED - r) & (view.after[rows] >= r)]
+        one, two = _neighbours(view.code(own, r - LEAST_SHARED, r))
+        one, two = own[one], own[two]
+        apart = parts[one] != parts[two]
+        one, two = one[apart], two[apart]
+        begin = np.full(len(one), r - LEAST_SHARED)
+        true = view.same(one, two, begin, begin, LEAST_SHARED)
+        link(one[true], two[true])
+    for flipped in (False, True):
+        view = Surroundings(key, left, right, tokens, True) if flipped else view
+        for r in range(1, LEAST_SHARED):
+            if r % 8 == 1:
+                rows = open_rows()
+            for one, two in _across(view, rows, r, parts):
+                link(one, two)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _across(view: Surroundings, rows: np.ndarray, r: int, parts: Parts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between rows whose common run over the centre breaks off r columns on and goes on up to SPARE columns later.
+
+    Only groups go on in which the run really breaks there, and in which some token behind the break is common.
     """
-    columns = np.arange(-SIDE, PASSAGE)
-    inside = (columns >= -left[:, None]) & (columns < right[:, None])
-    tokens = np.where(inside, np.maximum(tokens, 1), 0).astype(np.uint16)
-    able = np.flatnonzero(left + right >= PASSAGE)
-    able = able[np.lexsort((doc[able], key[able]))]
-    parts, a, b = _Parts(doc), [], []
-
-    def groups(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
-        return begin, np.diff(np.append(begin, len(rows)))
-
-    def link(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        hits = np.minimum(left[one], left[two]) + np.minimum(right[one], right[two]) >= PASSAGE
-        for part in np.array_split(np.flatnonzero(hits), hits.sum() // 20_000 + 1):
-            x, y = one[part], two[part]
-            lead = x[:1] if len(x) and (x == x[0]).all() else x
-            hits[part] = overlap(tokens[lead], left[x], right[x], tokens[y], left[y], right[y])
-        new = np.flatnonzero(hits)
-        a.append(doc[one[new]])
-        b.append(doc[two[new]])
-        parts.join(one[new], two[new])
-        return hits
-
-    def small_groups(rows: np.ndarray, keys: np.ndarray, small: np.ndarray) -> None:
-        for step in range(1, SMALL_GROUP):
-            near = np.flatnonzero((keys[:-step] == keys[step:]) & small[:-step]) if len(keys) > step else np.zeros(0, int)
-            near = near[parts[rows[near]] != parts[rows[near + step]]]
-            if len(near):
-                link(rows[near], rows[near + step])
-
-    def pair(one: np.ndarray, two: np.ndarray) -> None:
-        apart = np.flatnonzero((one < two) & (parts[one_of[one]] != parts[one_of[two]]))
-        if len(apart):
-            met = np.unique(one[apart] * len(one_of) + two[apart])
-            for some in np.array_split(met, len(met) // 20_000 + 1):
-                x, y = one_of[some // len(one_of)], one_of[some % len(one_of)]
-                new = parts[x] != parts[y]
-                link(x[new], y[new])
-
-    def long_posting(own: np.ndarray, held: np.ndarray) -> None:
-        """Rows that ask by a token, against all that have it."""
-        label = parts[one_of[held]]
-        names, count = np.unique(label, return_counts=True)
-        most = names[count.argmax()]
-        for r in np.union1d(held[label != most], own[parts[one_of[own]] != most]).tolist():
-            mine = own[own < r]
-            pair(mine, np.full(len(mine), r))
-            if (own == r).any():
-                pair(np.full(len(held), r), held)
-
-    def large_groups(rows: np.ndarray) -> None:
-        """All pairs of rows of one key that link; rows are numbered in the order of key and document."""
-        nonlocal one_of
-        one_of = rows
-        # Most copies of one passage meet its first row, which leaves few to pair.
-        begin, size = groups(rows, key[rows])
-        for g, n in zip(begin.tolist(), size.tolist(), strict=True):
-            pair(np.full(n - 1, g), np.arange(g + 1, g + n))
-        group = np.repeat(np.arange(len(begin)), size)
-        width = tokens.shape[1]
-        code = ((group[:, None] * width + np.arange(width)) << 16) | tokens[rows]
-        flat = np.argsort(code, axis=None, kind="stable")
-        ordered = code.ravel()[flat]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        often = np.zeros(code.size, np.int32)
-        often[flat] = np.diff(np.append(np.flatnonzero(new), len(ordered)))[np.cumsum(new) - 1]
-        holder = flat // width
-        who, at = probes(tokens[rows], left[rows], right[rows], often.reshape(code.shape))
-        late = []
-        for shift in range(-SHIFT, SHIFT + 1):
-            fits = np.flatnonzero((at + shift >= 0) & (at + shift < width))
-            wanted = code[who[fits], at[fits]] + (shift << 16)
-            lo, hi = np.searchsorted(ordered, wanted), np.searchsorted(ordered, wanted, "right")
-            asks = who[fits]
-            light = np.flatnonzero((hi > lo) & (hi - lo <= LIGHT))
-            total = np.cumsum(hi[light] - lo[light])
-            for some in np.split(light, np.searchsorted(total, np.arange(PAIRS_AT_ONCE, total[-1], PAIRS_AT_ONCE))) if len(light) else []:
-                n = hi[some] - lo[some]
-                pair(np.repeat(asks[some], n), holder[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[some], n)])
-            heavy = np.flatnonzero(hi - lo > LIGHT)
-            late.append((lo[heavy], hi[heavy], asks[heavy]))
-        lo, hi, asks = (np.concatenate([x[i] for x in late]) for i in range(3))
-        order = np.lexsort((asks, lo))
-        lo, hi, asks = lo[order], hi[order], asks[order]
-        begin, size = groups(asks, lo)
-        for g, n in zip(begin.tolist(), size.tolist(), strict=True):
-            long_posting(np.unique(asks[g : g + n]), np.unique(holder[lo[g] : hi[g]]))
-
-    one_of = able
-    begin, size = groups(able, key[able])
-    small = np.repeat(size <= SMALL_GROUP, size)
-    small_groups(able, key[able], small)
-    large = able[~small]
-    if len(large):
-        begin, size = groups(large, key[large])
-        cut = np.flatnonzero(np.diff(np.concatenate(([-1], (begin + size) // ROWS_AT_ONCE))))
-        for first, last in zip(begin[cut].tolist(), [*begin[cut[1:]].tolist(), len(large)], strict=True):
-            if last > first:
-                large_groups(large[first:last])
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    least = max(0, CORE - r)
+    own = rows[(view.before[rows] >= least) & (view.after[rows] > r)]
+    code = view.code(own, -least, r)
+    told = _mixed(code, view.tokens[own, SIDE + r], parts[own])
+    own, code = own[told], code[told]
+    gap = np.repeat(np.arange(SPARE + 1), len(own))
+    own, code = np.tile(own, SPARE + 1), np.tile(code, SPARE + 1)
+    fits = view.after[own] > r + gap
+    own, gap, code = own[fits], gap[fits], code[fits]
+    told = _mixed(mix64(code ^ mix64(view.tokens[own, SIDE + r + gap])), parts[own])
+    own, gap = own[told], gap[told]
+    for m in range(1, min(CORE - 1, LEAST_SHARED - r) + 1):
+        l = LEAST_SHARED - r - m
+        fits = np.flatnonzero((view.before[own] >= l) & (view.after[own] >= r + gap + m))
+        if not len(fits):
+            continue
+        who, skip = own[fits], gap[fits]
+        one, two = _neighbours(mix64(view.code(who, -l, r) + view.code(who, r + skip, r + skip + m) * np.uint64(3)))
+        apart = parts[who[one]] != parts[who[two]]
+        one, two = one[apart], two[apart]
+        begin = np.full(len(one), -l)
+        true = view.same(who[one], who[two], begin, begin, l + r) & view.same(who[one], who[two], r + skip[one], r + skip[two], m)
+        yield who[one[true]], who[two[true]]
 
 
 def _links(a: np.ndarray, b: np.ndarray) -> pa.Table:
@@ -439,7 +424,21 @@ def _answered(x: Entries, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return first, several
 
 
-def _tell_links(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _asking(x: Entries, ask: np.ndarray, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(entries, their keys in ascending order): a hot key's entries stand in `parts` sub-groups, and every two of these
+    have a key, so that any two entries meet and no key has more than two sub-groups."""
+    cold, hot = ask[~x.hot[ask]], ask[x.hot[ask]]
+    order = np.argsort(x.base[cold], kind="stable")
+    yield cold[order], x.base[cold][order]
+    own = (x.around[hot] % np.uint64(parts)).astype(np.int64)
+    for other in range(parts if len(hot) else 0):
+        pair = np.minimum(own, other) * parts + np.maximum(own, other)
+        key = _name(x.base[hot], pair.astype(np.uint64))
+        order = np.argsort(key, kind="stable")
+        yield hot[order], key[order]
+
+
+def _tell_links(buckets: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Links to first documents with a whole common passage, and the tokens around first occurrences, in one table."""
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -452,21 +451,19 @@ def _tell_links(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             away = np.flatnonzero((ids != first[x.entry]) & reach) if len(x.entry) else np.zeros(0, np.int64)
             links = _links(ids[away], first[x.entry[away]])
             rows.append((-1 - block_number(table), block_number(table), 0, links.column("a").to_numpy().tobytes() + links.column("b").to_numpy().tobytes()))
-            ask = np.flatnonzero(several & (first == x.least))
-            for k, own in dealt(x.bucket[ask]):
-                e = ask[own]
-                o = x.first[e]
-                at, left, right = x.block.at[x.occurrence[o]], x.left[o], x.right[o]
-                columns = np.arange(-SIDE, PASSAGE)
-                tokens = x.block.tokens[np.clip(at[:, None] + columns, 0, len(x.block.tokens) - 1)].astype(np.uint16)
-                rows.append((k, block_number(table), 3, x.key[e].tobytes() + x.least[e].tobytes() + left.astype(np.uint8).tobytes() + right.astype(np.uint8).tobytes() + tokens.tobytes()))
+            for e, key in _asking(x, np.flatnonzero((several | x.hot) & (first == x.least)), parts):
+                bucket = bucket_of(key, buckets)
+                for k, own in dealt(bucket):
+                    o = x.first[e[own]]
+                    at, left, right = x.block.at[x.occurrence[o]], x.left[o], x.right[o]
+                    tokens = x.block.tokens[np.clip(at[:, None] + np.arange(-SIDE, PASSAGE), 0, len(x.block.tokens) - 1)].astype(np.uint32)
+                    rows.append((k, block_number(table), 3, key[own].tobytes() + x.least[e[own]].tobytes() + left.astype(np.uint8).tobytes() + right.astype(np.uint8).tobytes() + tokens.tobytes()))
         return packed_rows(rows)
 
     return run
 
 
-_WIDTH = SIDE + PASSAGE
-_ROW = 18 + 2 * _WIDTH
+_ROW = 18 + 4 * _WIDTH
 
 
 def _find_links(table: pa.Table) -> pa.Table:
@@ -477,7 +474,7 @@ def _find_links(table: pa.Table) -> pa.Table:
     parts = []
     for p in payloads:
         n = len(p) // _ROW
-        parts.append((np.frombuffer(p, np.uint64, n), np.frombuffer(p, np.int64, n, 8 * n), np.frombuffer(p, np.uint8, n, 16 * n), np.frombuffer(p, np.uint8, n, 17 * n), np.frombuffer(p, np.uint16, -1, 18 * n).reshape(n, -1)))
+        parts.append((np.frombuffer(p, np.uint64, n), np.frombuffer(p, np.int64, n, 8 * n), np.frombuffer(p, np.uint8, n, 16 * n), np.frombuffer(p, np.uint8, n, 17 * n), np.frombuffer(p, np.uint32, -1, 18 * n).reshape(n, -1)))
     key, doc, left, right, tokens = (np.concatenate([p[i] for p in parts]) for i in range(5))
     return _links(*compare(key, doc, left.astype(np.int64), right.astype(np.int64), tokens))
 
@@ -492,21 +489,21 @@ def passage_links(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_blocks: i
     shared = by_block.applyInArrow(_tell_keys(buckets), PACKED).groupBy("bucket").applyInArrow(find_shared(hot_blocks), PACKED)
     around = by_block.cogroup(shared.groupBy("block")).applyInArrow(_tell_surroundings(buckets), PACKED)
     told = shared.unionByName(around.groupBy("bucket").applyInArrow(_find_first, PACKED))
-    sent = by_block.cogroup(told.groupBy("block")).applyInArrow(_tell_links(buckets), PACKED)
+    sent = by_block.cogroup(told.groupBy("block")).applyInArrow(_tell_links(buckets, max(2, -(-blocks // max(hot_blocks, 1)))), PACKED)
     return sent.groupBy("bucket").applyInArrow(_find_links, "a long, b long")
 
 
 def passage_classes(docs: DataFrame, **sizes: int) -> DataFrame:
-    """(doc_id, class_id, n_links): a row for each document with a passage that is nearly repeated in another one.
+    """(doc_id, class_id, n_others): a row for each row of docs.
 
-    class_id is the smallest doc_id that its links reach, n_links the number of its links in the spanning lists.
-    Defined cases: null and short texts (under WORDS words) have no passage; rows without doc_id
-    are left out, as no link can name them; rows with one doc_id are one document; an empty table gives no rows;
-    other columns are ignored. A passage that stands word by word in two documents always links them, near copies
-    as min-hashes agree.
+    class_id is the smallest doc_id that its links reach, its own without a link; n_others counts the other documents of
+    the class. Defined cases: null and short texts (under WORDS words) have no passage; a row without doc_id
+    can't be named by a link, so its class_id is null; rows with one doc_id are one document; an empty table gives
+    no rows; other columns are ignored. Links are complete: see the module's first lines.
     """
     links = durable(passage_links(docs, **sizes).distinct())
-    ends = links.select(F.col("a").alias("doc_id")).unionAll(links.select(F.col("b").alias("doc_id")))
-    counts = ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(links)
-    return roots.join(counts, roots.node == counts.doc_id).select("doc_id", F.col("root").alias("class_id"), "n_links")
+    sizes_of = roots.groupBy("root").agg((F.count(F.lit(1)) - 1).alias("n_others")).withColumnRenamed("root", "_root")
+    placed = roots.join(sizes_of, F.col("root") == F.col("_root")).select("node", "root", "n_others")
+    ids = docs.select("doc_id").join(placed, F.col("doc_id").cast("long") == F.col("node"), "left")
+    return ids.select("doc_id", F.coalesce("root", F.col("doc_id").cast("long")).alias("class_id"), F.coalesce("n_others", F.lit(0)).cast("long").alias("n_others"))

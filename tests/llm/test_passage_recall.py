@@ -1,97 +1,121 @@
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from priorline.llm import passages
+from test_near_duplicates import classes
+
+P, S = passages.PASSAGE, passages.LEAST_SHARED
+
+
+def near(a: list[str], b: list[str]) -> bool:
+    """Whether some windows of fifty words share 0.8 of their five-word runs, tried for every pair of windows."""
+
+    def windows(words):
+        runs = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        return [Counter(runs[i : i + P]) for i in range(len(runs) - P + 1)]
+
+    theirs = windows(b)
+    return any((x & y).total() >= S for x in windows(a) for y in theirs)
+
+
+def edited(passage: list[str], rng: random.Random) -> list[str]:
+    out = list(passage)
+    for _ in range(rng.randint(0, 3)):
+        at, kind = rng.randrange(len(out)), rng.randrange(3)
+        if rng.random() < 0.6:
+            at = rng.choice([0, 1, 2, len(out) - 1, len(out) - 2])
+        if kind == 0:
+            out[at] = f"new{rng.randrange(10**6)}"
+        elif kind == 1:
+            del out[at]
+        else:
+            out.insert(at, f"more{rng.randrange(10**6)}")
+    return out
+
+
+def got_classes(spark, frame, rows, **sizes):
+    return {r.doc_id: (r.class_id, r.n_others) for r in passages.passage_classes(frame(rows), **sizes).collect()}
 
 
-def surroundings(rows: list[np.ndarray], at: list[int]):
-    left = np.array([min(a, passages.SIDE) for a in at])
-    right = np.array([min(len(r) - a, passages.PASSAGE) for r, a in zip(rows, at, strict=True)])
-    tokens = np.zeros((len(rows), passages.SIDE + passages.PASSAGE), np.uint16)
-    for i, (r, a) in enumerate(zip(rows, at, strict=True)):
-        tokens[i, passages.SIDE - left[i] : passages.SIDE + right[i]] = r[a - left[i] : a + right[i]]
-    return left, right, tokens
-
-
-def roots(n: int, pairs) -> list[int]:
-    label = list(range(n))
-    for a, b in pairs:
-        x, y = label[a], label[b]
-        label = [min(x, y) if v in (x, y) else v for v in label]
-    return label
-
-
-def group(word: int, rng: np.random.Generator):
-    """Thirty rows that share a short phrase over the centre, and two passages of 50 words with this word changed in one."""
-    passage = rng.integers(1, 1 << 16, passages.PASSAGE)
-    changed = passage.copy()
-    changed[max(0, word - passages.SHINGLE) : word] = rng.integers(1, 1 << 16, len(changed[max(0, word - passages.SHINGLE) : word]))
-    centre = 23 if word < 24 else 17
-    rows, at = [], []
-    for k in range(32):
-        body = rng.integers(1, 1 << 16, passages.PASSAGE)
-        body[centre - 8 : centre + 8] = passage[centre - 8 : centre + 8]
-        if k in (9, 30):
-            body = passage if k == 9 else changed
-        rows.append(np.concatenate((rng.integers(1, 1 << 16, 60), body, rng.integers(1, 1 << 16, 60))))
-        at.append(60 + centre)
-    return rows, at
-
-
-@pytest.mark.parametrize("word", range(1, passages.WORDS + 1))
-def test_large_groups_link_what_all_pairs_link(word):
-    rows, at = group(word, np.random.default_rng(word))
-    left, right, tokens = surroundings(rows, at)
-    n = len(rows)
-    one, two = np.triu_indices(n, 1)
-    hits = passages.overlap(tokens[one], left[one], right[one], tokens[two], left[two], right[two])
-    assert (9, 30) in set(zip(one[hits].tolist(), two[hits].tolist(), strict=True))
-    a, b = passages.compare(np.zeros(n, np.uint64), np.arange(n), left, right, tokens)
-    assert roots(n, zip(a.tolist(), b.tolist(), strict=True)) == roots(n, zip(one[hits].tolist(), two[hits].tolist(), strict=True))
-
-
-def test_large_groups_of_many_copies_and_edges():
-    """Copies with dropped, added and changed words near and beyond the limit, and texts that end within a passage."""
-    rng = np.random.default_rng(3)
-    rows, at = [], []
-    passage = [rng.integers(1, 1 << 16, 70) for _ in range(3)]
-    for p in passage[1:]:
-        p[30:36] = passage[0][30:36]
-    for k in range(400):
-        body = passage[k % 3].copy()
-        for place in rng.choice(70, rng.integers(0, 9), replace=False):
-            if place != 33:
-                body[place] = rng.integers(1, 1 << 16)
-        centre = 33
-        if k % 5 == 0:
-            cut = int(rng.integers(0, 30))
-            body, centre = np.delete(body, cut), centre - 1
-        begin, end = int(rng.integers(0, 25)), int(rng.integers(45, len(body)))
-        before, after = rng.integers(0, 50), rng.integers(0, 50)
-        rows.append(np.concatenate((rng.integers(1, 1 << 16, before), body[begin:end], rng.integers(1, 1 << 16, after))))
-        at.append(int(before) + centre - begin)
-    left, right, tokens = surroundings(rows, at)
-    n = len(rows)
-    one, two = np.triu_indices(n, 1)
-    hits = passages.overlap(tokens[one], left[one], right[one], tokens[two], left[two], right[two])
-    want = roots(n, zip(one[hits].tolist(), two[hits].tolist(), strict=True))
-    assert 3 < len(set(want)) < n
-    a, b = passages.compare(np.zeros(n, np.uint64), np.arange(n), left, right, tokens)
-    assert roots(n, zip(a.tolist(), b.tolist(), strict=True)) == want
+@pytest.mark.parametrize("hot", [256, 0])
+def test_against_all_windows(spark, frame, words, hot):
+    """Passages of 40 to 60 words with edits near and beyond the limit; classes are those of all pairs of windows."""
+    rng, texts = random.Random(8), []
+    for k in range(150):
+        passage = words(40 + (k % 10) * 2, 1000 + k % 10)
+        texts.append(words(rng.randint(0, 12), 2000 + k) + edited(passage, rng) + words(rng.randint(0, 12), 3000 + k))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near(texts[i], texts[j])]
+    want = classes(pairs, range(len(texts)))
+    count = Counter(want.values())
+    assert 5 < len(set(want.values())) < 140
+    got = got_classes(spark, frame, [(i, " ".join(t)) for i, t in enumerate(texts)], hot_blocks=hot, block_bytes=8000)
+    assert got == {i: (want[i], count[want[i]] - 1) for i in want}
 
 
 def test_no_near_copy_is_lost_wherever_its_word_changed(spark, frame, words):
-    """Pairs of documents with a passage of 50 words, one of them changed; other words around it."""
+    """Pairs of documents with a passage of 50 words, one of them changed, dropped or doubled; other words around it."""
     rows, want = [], {}
     for word in range(passages.WORDS):
-        for k in range(8):
+        for k in range(6):
             seed = 10_000 + 100 * word + 10 * k
-            passage = words(passages.WORDS, seed)
-            changed = [*passage[:word], "changed", *passage[word + 1 :]]
-            first = 2 * (8 * word + k)
+            passage = words(passages.WORDS + (k % 3 > 0), seed)
+            changed = [*passage[:word], *([["changed"], [], [passage[word], "more"]][k % 3]), *passage[word + 1 :]]
+            first = 2 * (6 * word + k)
             rows += [(first, " ".join(words(60, seed + 1) + passage + words(60, seed + 2))), (first + 1, " ".join(words(60, seed + 3) + changed + words(60, seed + 4)))]
-            want |= {first: first, first + 1: first}
-    got = {r.doc_id: r.class_id for r in passages.passage_classes(frame(rows)).collect()}
-    assert got == want
+            want |= {first: (first, 1), first + 1: (first, 1)}
+    assert got_classes(spark, frame, rows) == want
+
+
+@pytest.mark.parametrize("size", [2, 12, 13, 40, 300])
+def test_groups_of_any_size_are_whole(spark, frame, words, size):
+    """Near copies in one group, each with an own word in each stretch of 51: the near passages of all pairs are found."""
+    base, rows = words(204, 77), []
+    for k in range(size):
+        own = [f"own{k}x{i}" if i % 51 == 25 + k % 2 else w for i, w in enumerate(base)]
+        rows.append((k, " ".join(words(20, 9000 + k) + own + words(20, 99_000 + k))))
+    few = min(size, 13)
+    split = [r[1].split() for r in rows[:few]]
+    pairs = [(i, j) for i in range(few) for j in range(i) if near(split[i], split[j])]
+    want = classes(pairs, range(few))
+    got = got_classes(spark, frame, rows)
+    assert {i: got[i][0] for i in range(few)} == want
+    assert set(want.values()) == {0} and set(got.values()) == {(0, size - 1)}
+
+
+def test_a_common_line_joins_nothing(spark, frame, words):
+    """A line of forty words in every document is no passage, and two near passages beside it are found."""
+    line = words(40, 5)
+    rows = [(k, " ".join(words(30, 100 + k) + line + words(30, 5000 + k))) for k in range(200)]
+    extra = words(9, 6)
+    rows += [(300, " ".join(words(30, 7) + line + ["this"] + extra + words(30, 8))), (301, " ".join(words(30, 9) + line + ["that"] + extra + words(30, 10)))]
+    got = got_classes(spark, frame, rows)
+    assert got == {k: (k, 0) for k in range(200)} | {300: (300, 1), 301: (300, 1)}
+
+
+def test_texts_of_few_words(spark, frame):
+    """Texts that say a few words over and over: equal passages link."""
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choices(["x", "y"], k=200))) for k in range(60)] + [(100 + k, "x " * (50 + k)) for k in range(5)] + [(200, "y x " * 40), (201, "x y " * 90)]
+    got = got_classes(spark, frame, rows)
+    assert {got[100 + k][0] for k in range(5)} == {100} and got[200] == got[201]
+
+
+def test_awkward_rows(spark, frame, awkward):
+    got = passages.passage_classes(frame(awkward)).collect()
+    assert len(got) == len(awkward)
+    assert {(r.doc_id, r.class_id) for r in got} >= {(5, 5), (6, 5), (1, 1), (None, None)}
+    assert passages.passage_classes(frame([])).count() == 0
+
+
+def test_parts_join_in_bulk():
+    rng = np.random.default_rng(1)
+    one, two = rng.integers(0, 500, 300), rng.integers(0, 500, 300)
+    parts = passages.Parts(np.arange(500))
+    parts.join(one, two)
+    want = classes(zip(one.tolist(), two.tolist(), strict=True), range(500))
+    assert parts.label.tolist() == [want[i] for i in range(500)]
