@@ -49,6 +49,8 @@ BLOCK_BYTES = 4 << 20
 STEP = 1 << 19
 KEYS_A_TASK = 400_000
 HOT_BLOCKS = 256
+#: Columns that are gone over with one choice of rows.
+STEP_COLUMNS = 5
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -174,6 +176,12 @@ class Block:
         first = np.flatnonzero(self.function == 0)
         chosen = np.zeros(len(self.tokens), bool)
         chosen[centres(values, low & ~np.uint64(1), runs)] = True
+        # Of a stretch of one token (a word over and over) the ends will do: a common run that has both this token and another
+        # has an end of the stretch, and two stretches may as well be laid end to end as in any other way.
+        equal = np.concatenate(([False], self.tokens[1:] == self.tokens[:-1], [False]))
+        equal[self.start] = False
+        equal[self.stop] = False
+        chosen &= ~(equal[:-1] & equal[1:])
         return first[chosen[self.at[first]]]
 
 
@@ -257,27 +265,33 @@ class Surroundings:
     """Rows of tokens with their centre in column SIDE, read from left to right or from right to left."""
 
     def __init__(self, key: np.ndarray, left: np.ndarray, right: np.ndarray, tokens: np.ndarray, flipped: bool = False) -> None:
-        self.tokens = tokens[:, ::-1] if flipped else tokens
+        self.tokens = np.ascontiguousarray((tokens[:, ::-1] if flipped else tokens).T)
         self.before, self.after = (right - 1, left + 1) if flipped else (left, right)
         self.key = mix64(key)
-        self.sums = np.zeros((len(key), _WIDTH + 1), np.uint64)
-        np.cumsum(mix64(self.tokens) * powers(_WIDTH), axis=1, out=self.sums[:, 1:])
+        self.sums = np.zeros((_WIDTH + 1, len(key)), np.uint64)
+        for k, power in enumerate(powers(_WIDTH)):
+            self.sums[k + 1] = self.sums[k] + mix64(self.tokens[k]) * power
         self.undo = powers(_WIDTH + 1, _UNBASE)
 
     def code(self, rows: np.ndarray, begin: int | np.ndarray, end: int | np.ndarray) -> np.ndarray:
         """A hash of key and of the columns begin to end, counted from the centre."""
         a, b = SIDE + begin, SIDE + end
-        return mix64((self.sums[rows, b] - self.sums[rows, a]) * self.undo[a] ^ self.key[rows])
+        return mix64((self.sums[b, rows] - self.sums[a, rows]) * self.undo[a] ^ self.key[rows])
+
+    def common(self, rows: np.ndarray, begin: int, end: int, parts: Parts) -> np.ndarray:
+        """The rows that have these columns in common with a row of a document that isn't connected with theirs yet."""
+        rows = rows[(self.before[rows] >= -begin) & (self.after[rows] >= end)]
+        return rows[_mixed(self.code(rows, begin, end), parts[rows])]
 
     def same(self, one: np.ndarray, two: np.ndarray, first: np.ndarray, second: np.ndarray, length: int) -> np.ndarray:
         """Which pairs of rows have equal tokens from the given columns on."""
-        k = np.arange(length) + SIDE
-        return (self.tokens[one[:, None], first[:, None] + k] == self.tokens[two[:, None], second[:, None] + k]).all(axis=1)
+        k = np.arange(length)[:, None] + SIDE
+        return (self.tokens[first + k, one] == self.tokens[second + k, two]).all(axis=0)
 
 
 def _grouped(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order that sorts codes, where groups of equal ones begin, and for each place its group."""
-    order = np.argsort(code, kind="stable")
+    order = np.argsort(code)
     new = np.concatenate(([True], code[order][1:] != code[order][:-1])) if len(code) else np.zeros(0, bool)
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
@@ -302,26 +316,27 @@ def _neighbours(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[at], order[at + 1]
 
 
+def _from(reach: int, r: int, step: int) -> tuple[int, int]:
+    """Columns that any run over the centre has which ends r columns on and is `reach` long, for r and the rest of its
+    step: what lies on the longer side."""
+    r -= r % step
+    return (0, r) if 2 * r >= reach else (-max(0, reach - r - step + 1), 1)
+
+
 def compare(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links between the documents of one key, enough to connect whatever all its pairs would connect."""
     parts, a, b = Parts(doc), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-    def open_rows() -> np.ndarray:
-        """Rows of keys whose documents aren't all connected yet."""
-        rows = np.arange(len(key))
-        return rows[_mixed(key, parts[rows])]
-
     def link(one: np.ndarray, two: np.ndarray) -> None:
         a.append(doc[one])
         b.append(doc[two])
         parts.join(one, two)
 
+    every = np.arange(len(key))
     view = Surroundings(key, left, right, tokens)
-    rows = open_rows()
-    # From the middle outwards: most common runs hold the middle, and what is connected is not compared again.
-    for n, r in enumerate(sorted(range(1, LEAST_SHARED + 1), key=lambda r: abs(2 * r - LEAST_SHARED))):
-        if n % 8 == 1:
-            rows = open_rows()
+    for r in range(1, LEAST_SHARED + 1):
+        if r == 1 or r % STEP_COLUMNS == 0:
+            rows = view.common(every, *_from(LEAST_SHARED, r, STEP_COLUMNS), parts)
         own = rows[(view.before[rows] >= LEAST_SHARED - r) & (view.after[rows] >= r)]
         one, two = _neighbours(view.code(own, r - LEAST_SHARED, r))
         one, two = own[one], own[two]
@@ -333,8 +348,8 @@ def compare(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarra
     for flipped in (False, True):
         view = Surroundings(key, left, right, tokens, True) if flipped else view
         for r in range(1, LEAST_SHARED):
-            if r % 8 == 1:
-                rows = open_rows()
+            if r == 1 or r % STEP_COLUMNS == 0:
+                rows = view.common(every, *_from(CORE, r, STEP_COLUMNS), parts)
             for one, two in _across(view, rows, r, parts):
                 link(one, two)
     return np.concatenate(a), np.concatenate(b)
@@ -343,31 +358,39 @@ def compare(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarra
 def _across(view: Surroundings, rows: np.ndarray, r: int, parts: Parts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links between rows whose common run over the centre breaks off r columns on and goes on up to SPARE columns later.
 
-    Only groups go on in which the run really breaks there, and in which some token behind the break is common.
+    Only groups go on in which the run really breaks there, and in which tokens behind the break are common.
     """
     least = max(0, CORE - r)
     own = rows[(view.before[rows] >= least) & (view.after[rows] > r)]
     code = view.code(own, -least, r)
-    told = _mixed(code, view.tokens[own, SIDE + r], parts[own])
+    told = _mixed(code, view.tokens[SIDE + r, own], parts[own])
     own, code = own[told], code[told]
     gap = np.repeat(np.arange(SPARE + 1), len(own))
     own, code = np.tile(own, SPARE + 1), np.tile(code, SPARE + 1)
-    fits = view.after[own] > r + gap
-    own, gap, code = own[fits], gap[fits], code[fits]
-    told = _mixed(mix64(code ^ mix64(view.tokens[own, SIDE + r + gap])), parts[own])
-    own, gap = own[told], gap[told]
-    for m in range(1, min(CORE - 1, LEAST_SHARED - r) + 1):
-        l = LEAST_SHARED - r - m
-        fits = np.flatnonzero((view.before[own] >= l) & (view.after[own] >= r + gap + m))
-        if not len(fits):
-            continue
-        who, skip = own[fits], gap[fits]
-        one, two = _neighbours(mix64(view.code(who, -l, r) + view.code(who, r + skip, r + skip + m) * np.uint64(3)))
-        apart = parts[who[one]] != parts[who[two]]
-        one, two = one[apart], two[apart]
-        begin = np.full(len(one), -l)
-        true = view.same(who[one], who[two], begin, begin, l + r) & view.same(who[one], who[two], r + skip[one], r + skip[two], m)
-        yield who[one[true]], who[two[true]]
+    most = min(CORE - 1, LEAST_SHARED - r)
+    for low in range(1, most + 1, STEP_COLUMNS):
+        # So many tokens are common behind the break, and before it as many as go with the most of this step.
+        high = min(low + STEP_COLUMNS - 1, most)
+        fits = view.after[own] >= r + gap + low
+        own, gap, code = own[fits], gap[fits], code[fits]
+        told = _mixed(mix64(code + view.code(own, r + gap, r + gap + low) * np.uint64(3)), parts[own])
+        own, gap, code = own[told], gap[told], code[told]
+        l = LEAST_SHARED - r - high
+        at = np.flatnonzero(view.before[own] >= l)
+        near = mix64(view.code(own[at], -l, r) + view.code(own[at], r + gap[at], r + gap[at] + low) * np.uint64(3))
+        at = at[_mixed(near, parts[own[at]])]
+        for m in range(low, high + 1):
+            l = LEAST_SHARED - r - m
+            fits = at[(view.before[own[at]] >= l) & (view.after[own[at]] >= r + gap[at] + m)]
+            if not len(fits):
+                continue
+            who, skip = own[fits], gap[fits]
+            one, two = _neighbours(mix64(view.code(who, -l, r) + view.code(who, r + skip, r + skip + m) * np.uint64(3)))
+            apart = parts[who[one]] != parts[who[two]]
+            one, two = one[apart], two[apart]
+            begin = np.full(len(one), -l)
+            true = view.same(who[one], who[two], begin, begin, l + r) & view.same(who[one], who[two], r + skip[one], r + skip[two], m)
+            yield who[one[true]], who[two[true]]
 
 
 def _links(a: np.ndarray, b: np.ndarray) -> pa.Table:

@@ -23,6 +23,24 @@ def near(a: list[str], b: list[str]) -> bool:
     return any((x & y).total() >= S for x in windows(a) for y in theirs)
 
 
+def near_in_two_blocks(a: list[str], b: list[str]) -> bool:
+    """The module's definition, for texts whose five-word runs repeat within a passage: every common run with every other behind it."""
+    one, two = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (a, b))
+    if min(len(one), len(two)) < P:
+        return False
+    n, m = len(one), len(two)
+    run = np.zeros((n + 60, m + 60), int)
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            run[i, j] = run[i + 1, j + 1] + 1 if one[i] == two[j] else 0
+    i, j = np.nonzero(run)
+    x = run[i, j]
+    if (x >= S).any():
+        return True
+    gaps = range(passages.SPARE + 1)
+    return any((x + run[np.minimum(i + x + g, n), np.minimum(j + x + h, m)] >= S).any() for g in gaps for h in gaps)
+
+
 def edited(passage: list[str], rng: random.Random) -> list[str]:
     out = list(passage)
     for _ in range(rng.randint(0, 3)):
@@ -105,6 +123,20 @@ def test_texts_of_few_words(spark, frame):
     assert {got[100 + k][0] for k in range(5)} == {100} and got[200] == got[201]
 
 
+def test_words_over_and_over(spark, frame, words):
+    """Stretches of one word with other words around and between them, equal and near ones, against all pairs of windows."""
+    rng, texts = random.Random(4), []
+    for k in range(120):
+        text = words(rng.choice([0, 8, 14]), rng.randrange(6))
+        for _ in range(rng.randint(1, 3)):
+            text += [rng.choice(["la", "so"])] * rng.choice([3, 26, 30, 31, 44, 60]) + words(rng.choice([6, 15]), 50 + rng.randrange(5))
+        texts.append(text)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near_in_two_blocks(texts[i], texts[j])]
+    want = classes(pairs, range(len(texts)))
+    got = got_classes(spark, frame, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    assert {i: c for i, (c, _) in got.items()} == want and 3 < len(set(want.values()))
+
+
 def test_awkward_rows(spark, frame, awkward):
     got = passages.passage_classes(frame(awkward)).collect()
     assert len(got) == len(awkward)
