@@ -201,3 +201,17 @@ def test_lines_against_all_pairs(spark, frame, words, awkward):
     awk = {r.doc_id: r.dropped for r in lines.line_drops(frame(awkward)).collect()}
     assert awk[10] == "1,2,3,4" and awk[8] == "0" and awk[7] == "" and awk[1] == ""
     assert lines.line_drops(frame([])).count() == 0
+
+
+def test_a_very_long_line(spark, frame, words):
+    """Lines of 100,000 words cost one pass each, and near ones are found wherever the word is."""
+    long = words(100_000, 3)
+    rows = [(k, " ".join([*long[:at], *new, *long[at + 1 :]])) for k, (at, new) in enumerate([(0, long[:1]), (0, ["x"]), (50_000, []), (99_999, ["y", "z"]), (70_000, ["a", "b", "c"])])]
+    assert {r.doc_id: r.dropped for r in lines.line_drops(frame(rows)).collect()} == {0: "", 1: "0", 2: "0", 3: "", 4: ""}
+
+
+def test_lines_of_few_words(spark, frame):
+    """With another least number of words short lines are near ones too."""
+    rows = [(0, "a b"), (1, "a c"), (2, "x"), (3, "d e f"), (4, "d f"), (5, "g h i j")]
+    got = {r.doc_id: r.n_dropped for r in lines.line_drops(frame(rows), least_words=2).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1, 5: 0}
