@@ -21,9 +21,9 @@ from priorline.llm.common import durable, whole
 
 #: Shorter lines are only compared for equality: with one word changed any two would be near.
 LEAST_WORDS = 5
-#: Candidate lines (of two numbers each) up to this many are sent to the tasks that read the texts, 64 MB at most; beyond,
-#: texts and candidates are dealt by document.
-MOST_SENT_ROWS = 1_000_000
+#: Candidate lines (of seven numbers each) up to this many are sent to the tasks that read the texts, 16 MB at most;
+#: beyond, texts and candidates are dealt by document.
+MOST_SENT_ROWS = 100_000
 #: Words of a line that are summed up in one go.
 CHUNK = 64
 _LAST = (1 << 63) - 1
@@ -186,7 +186,8 @@ def line_drops(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     last; rows with one doc_id stand at one place, so neither drops the other's lines; an empty table gives
     no rows; other columns are ignored. Keys are 128-bit for equal lines; near lines are verified word by word.
     """
-    lines = durable(read_lines(docs, least_words).filter("n > 0"))
+    # Blank lines are left out of the table and not of the scan, which would normalise each line for the filter once more.
+    lines = durable(read_lines(docs, least_words)).filter("n > 0")
     gone = lines.select("rank", "body", "line_no", "h1", "h2").join(earliest(docs, lines), ["h1", "h2"]).filter((F.col("rank") > F.col("from_rank")) | ((F.col("rank") == F.col("from_rank")) & (F.col("line_no") > F.col("from_line"))))
     drops = gone.select("rank", "body", "line_no").distinct().groupBy("rank", "body").agg(F.sort_array(F.collect_list("line_no")).alias("dropped"))
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("rank"), F.xxhash64(whole("text")).alias("body"), (F.length(whole("text")) - F.length(F.replace(whole("text"), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
