@@ -1,173 +1,201 @@
 """Quality rules with n-gram perplexity.
 
-Spark counts the trigrams of every whole text, language by language, over 64 classes of bytes; a modified
-Kneser-Ney model is fitted for each language and kept as sorted arrays of hashed n-grams with
-their log-probabilities. A document is rejected by the base rules, or because its perplexity lies below the
-band of its language, or above it segment by segment even if each may follow the model of all languages together.
+The n-grams are runs of ORDER bytes, ASCII letters without case, so nothing bounds how many there are; every whole text is
+counted. Blocks of documents send buckets of n-grams their distinct ones with counts; Spark adds them up for each
+language and joins the orders of a modified Kneser-Ney model, which lies dealt over the buckets in sorted arrays of
+hashes. A bucket answers each block in the order it was asked, so no model is ever whole in one place. An n-gram's own
+occurrence is no evidence for it: counts are less one.
+
+A document is rejected by the base rules, or because its perplexity lies below the band of its language, or above it
+segment by segment even if each may follow the model of all languages together.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priorline.llm.common import SPACES, durable, mix64, text_steps, whole
+from priorline.llm.dealing import PACKED, block_number, packed, packed_rows, unpacked
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
-#: Classes of bytes: with three in a row no language's model can hold more than 64**3 n-grams.
-CLASSES = 64
-CELLS = CLASSES**3
-#: Languages whose counts or models are in memory at once.
-LANGUAGES_AT_ONCE = 32
+#: Bytes of an n-gram; five fit a long and leave the sign alone.
+ORDER = 5
+BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 32 << 20
 #: The band's ends in robust standard deviations below and above the language's median, and the bytes at which
-#: a text's own noise doubles the variance. The lower end is for nats, where texts that say one thing over and over stand 8
-#: and more below; the upper end is for eased nats, where a quoted language counts by the pooled model.
+#: a text's own noise doubles the variance.
 BAND_BELOW = 8.0
-BAND_ABOVE = 16.0
+BAND_ABOVE = 8.0
 NOISE_BYTES = 400.0
-#: Trigrams of one segment, which the upper end takes by the better of the language's and the pooled model.
+#: N-grams of one segment, which the upper end takes by the better of the language's and the pooled model.
 SEGMENT = 64
 #: Perplexities meet in bins of so many parts of a nat for the band's median and spread.
 BINS = 1000
-
-
-def byte_classes() -> np.ndarray:
-    """Letters 0-25 without case, space 26, line end 27, digits 28, sentence marks 29-30, other ASCII 31, the rest by its low five bits."""
-    out = np.full(256, 31, np.uint8)
-    out[128:] = 32 + (np.arange(128, 256) & 31)
-    for low, high in ((65, 91), (97, 123)):
-        out[low:high] = np.arange(26)
-    out[[*SPACES]] = 26
-    out[10] = 27
-    out[48:58] = 28
-    out[[46, 33, 63]] = 29
-    out[[44, 58, 59]] = 30
-    return out
-
-
-_CLASS = byte_classes()
-
-
-def trigrams(data: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of three classes in a row, and where in the buffer each starts; none crosses a text's end."""
-    if len(data) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = _CLASS[data].astype(np.int64)
-    code = (x[:-2] << 12) | (x[1:-1] << 6) | x[2:]
-    inside = np.ones(len(code), bool)
-    for back in (1, 2):
+#: Languages whose bands are sent to all tasks; more are joined by key.
+MOST_SENT_BANDS = 10_000
+_POOLED = "\x00"
+
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += 32
+
+
+def grams(data: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of ORDER bytes in a row, and where in the buffer each starts; none crosses a text's end."""
+    n = len(data) - ORDER + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    low, code = _LOWER[data], np.zeros(n, np.uint64)
+    for k in range(ORDER):
+        code = (code << np.uint64(8)) | low[k : k + n]
+    inside = np.ones(n, bool)
+    for back in range(1, ORDER):
         ends = stop - back
-        inside[ends[(ends >= 0) & (ends < len(code))]] = False
+        inside[ends[(ends >= 0) & (ends < n)]] = False
     at = np.flatnonzero(inside)
     return code[at], at
 
 
-def count_trigrams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, code, n) over every whole text; a null language counts as the empty one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for name, counts in held.items():
-                at = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "code", "n"])
-            held.clear()
-
-        for batch in batches:
-            for name in pc.unique(batch.column(0)).to_pylist():
-                own = batch.filter(pc.equal(batch.column(0), name))
-                for step in text_steps(own):
-                    codes, _ = trigrams(step.data, step.stop)
-                    if name not in held and len(held) >= LANGUAGES_AT_ONCE:
-                        yield from flush()
-                    held[name] = held.get(name, 0) + np.bincount(codes, minlength=CELLS)
-        yield from flush()
-
-    pairs = docs.select(whole(F.col(lang).cast("string")).alias("lang"), whole(text).alias("text"))
-    return pairs.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of one, two, and three or more."""
-    n = [float(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4)]
-    if min(n) == 0:
-        return np.array([0.0, 0.5, 0.5, 0.5])
-    y = n[0] / (n[0] + 2 * n[1])
-    found = [k + 1 - (k + 2) * y * n[k + 1] / n[k] for k in range(3)]
-    return np.array([0.0, *[min(max(d, 0.05), k + 0.95) for k, d in enumerate(found)]])
-
-
-def _order(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """One order's probabilities: rows are contexts, columns symbols; lower has the next order's for each row."""
-    d = discounts(counts)
-    cut = d[np.minimum(counts, 3)]
-    total = counts.sum(axis=1, keepdims=True)
-    own = np.maximum(counts - cut, 0) / np.maximum(total, 1)
-    left = cut.sum(axis=1, keepdims=True) / np.maximum(total, 1)
-    return np.where(total > 0, own + left * lower, lower)
-
-
-def kneser_ney(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram counts [a, b, c] to the probabilities of c after (a, b), and of c after b alone."""
-    seen = (counts > 0).astype(np.int64)
-    follow = seen.sum(axis=0)
-    single = (follow > 0).sum(axis=0)[None, :]
-    uniform = np.full((1, CLASSES), 1.0 / CLASSES)
-    one = _order(single, uniform)
-    two = _order(follow, np.repeat(one, CLASSES, axis=0))
-    three = _order(counts.reshape(-1, CLASSES), np.tile(two, (CLASSES, 1)))
-    return three.reshape(CLASSES, CLASSES, CLASSES), two
-
-
-def _hashed(codes: np.ndarray, order: int) -> np.ndarray:
-    return mix64(codes.astype(np.uint64) | np.uint64(order << 60))
+class Asked:
+    """One block's n-grams, language by language: distinct codes in ascending order within the buckets, and each text's."""
+
+    def __init__(self, table: pa.Table, buckets: int) -> None:
+        self.table = table.combine_chunks()
+        names = self.table.column("_lang")
+        self.languages = []
+        for name in sorted(pc.unique(names).to_pylist()):
+            mine = pc.equal(names, name).combine_chunks()
+            rows = np.flatnonzero(mine.to_numpy(zero_copy_only=False))
+            texts = self.table.column("_text").filter(mine).combine_chunks()
+            codes, firsts, lasts, base = [np.zeros(0, np.uint64)], [], [], 0
+            for batch in pa.table({"text": texts}).to_batches():
+                for step in text_steps(batch):
+                    code, at = grams(step.data, step.stop)
+                    codes.append(code)
+                    firsts.append(base + np.searchsorted(at, step.start))
+                    lasts.append(base + np.searchsorted(at, step.stop))
+                    base += len(code)
+            distinct, which, count = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+            bucket = (distinct % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            self.languages.append((name, rows, np.concatenate(firsts), np.concatenate(lasts), place[which], distinct[by], count[by], bucket[by]))
+
+    def requests(self) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, slice]]:
+        """(bucket, language, codes, counts, where they stand) in a fixed order."""
+        for name, _, _, _, _, codes, counts, bucket in self.languages:
+            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else [0]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield int(bucket[a]), name.encode(), codes[a:b], counts[a:b], slice(int(a), int(b))
+
+
+def _tell(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        rows = []
+        for bucket, name, codes, counts, _ in Asked(table, buckets).requests():
+            keys = packed(codes)
+            counted = np.minimum(counts, 255).astype(np.uint8)
+            more = counts[counts >= 255].astype(np.int64)
+            rows.append((bucket, block_number(table), 1, np.array([len(name), len(keys), len(codes)], np.int32).tobytes() + name + keys + counted.tobytes() + more.tobytes()))
+        return packed_rows(rows)
+
+    return run
+
+
+def _read(payload: bytes) -> tuple[str, np.ndarray, np.ndarray]:
+    """A request's language, codes and counts."""
+    a, b, n = np.frombuffer(payload, np.int32, 3).tolist()
+    codes = unpacked(payload[12 + a : 12 + a + b])
+    counts = np.frombuffer(payload, np.uint8, n, 12 + a + b).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(payload[12 + a + b + n :], np.int64)
+    return payload[12 : 12 + a].decode(), codes, counts
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """The counts of a bucket's n-grams, for each language and for all together."""
+    found: dict[str, list] = {}
+    for payload in table.column("payload").to_pylist():
+        name, codes, counts = _read(payload)
+        found.setdefault(name, []).append((codes, counts))
+        found.setdefault(_POOLED, []).append((codes, counts))
+    parts = []
+    for name, asked in found.items():
+        codes, which = np.unique(np.concatenate([c for c, _ in asked]), return_inverse=True)
+        n = np.zeros(len(codes), np.int64)
+        np.add.at(n, which, np.concatenate([x for _, x in asked]))
+        parts.append(pa.table({"lang": pa.array([name] * len(codes), pa.string()), "code": pa.array(codes.astype(np.int64)), "n": pa.array(n)}))
+    return pa.concat_tables(parts)
 
 
-def fit(counts: pd.DataFrame) -> pd.DataFrame:
-    """One language's counts to its model: hashes in ascending order, and a log-probability for each.
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang, code, n) of all n-grams to (lang, code, log_p): modified Kneser-Ney, the orders joined from the shortest up.
 
-    Trigrams whose context was seen are stored as far as they were seen, with the context's weight for the
-    rest; bigrams are stored in full.
+    The highest order counts occurrences less one, lower ones the different bytes before. A context without counts
+    leaves all to the next order; below the shortest all bytes are alike.
     """
-    table = np.zeros(CELLS, np.int64)
-    table[counts["code"].to_numpy()] = counts["n"].to_numpy()
-    three, two = kneser_ney(table.reshape(CLASSES, CLASSES, CLASSES))
-    seen = np.flatnonzero(table)
-    contexts = np.flatnonzero(table.reshape(-1, CLASSES).sum(axis=1))
-    unseen = np.where(table.reshape(-1, CLASSES) == 0, three.reshape(-1, CLASSES), 0).sum(axis=1)
-    lower = np.where(table.reshape(-1, CLASSES) == 0, np.tile(two, (CLASSES, 1)), 0).sum(axis=1)
-    back = (unseen / np.maximum(lower, 1e-300))[contexts]
-    keys = np.concatenate((_hashed(seen, 3), _hashed(contexts, 4), _hashed(np.arange(CLASSES**2), 2)))
-    values = np.log(np.maximum(np.concatenate((three.ravel()[seen], back, two.ravel())), 1e-30)).astype(np.float32)
-    order = np.argsort(keys)
-    return pd.DataFrame({"lang": [counts["lang"].iloc[0]], "hashes": [keys[order].tobytes()], "logs": [values[order].tobytes()]})
-
-
-def table_of(hashes: bytes, logs: bytes) -> np.ndarray:
-    """A model's log-probabilities for all codes, looked up in its sorted arrays."""
-    keys, values = np.frombuffer(hashes, np.uint64), np.frombuffer(logs, np.float32)
-
-    def look(codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        wanted = _hashed(codes, order)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], 0).astype(np.float32), keys[at] == wanted
-
-    codes = np.arange(CELLS)
-    two, _ = look(np.arange(CLASSES**2), 2)
-    back, known = look(np.arange(CLASSES**2), 4)
-    three, have = look(codes, 3)
-    return np.where(have, three, np.repeat(np.where(known, back, 0), CLASSES) + np.tile(two, CLASSES))
+    tables = [counts.select("lang", "code", (F.col("n") - 1).alias("c"))]
+    for order in range(ORDER - 1, 0, -1):
+        suffix = F.col("code").bitwiseAND(F.lit((1 << 8 * order) - 1))
+        tables.append(tables[-1].groupBy("lang", suffix.alias("code")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c")))
+    tables = [durable(t) for t in tables]
+    lower = None
+    for order, table in enumerate(reversed(tables), 1):
+        some = table.filter("c > 0")
+
+        def n(k: Column | int) -> Column:
+            return F.sum((F.col("c") == k).cast("long")).cast("double")
+
+        of = some.groupBy(F.col("lang").alias("_l")).agg(*[n(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        enough = F.least("n1", "n2", "n3", "n4") > 0
+        cut = [F.when(enough, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.05)), F.lit(k - 0.05))).otherwise(0.5).alias(f"d{k}") for k in (1, 2, 3)]
+        of = of.select("_l", *cut)
+        context = F.shiftright("code", 8).alias("_x")
+        sums = some.groupBy(F.col("lang").alias("_cl"), context).agg(F.sum("c").alias("total"), n(1).alias("t1"), n(2).alias("t2"), F.sum((F.col("c") >= 3).cast("long")).cast("double").alias("t3"))
+        held = table.join(sums, (F.col("lang") == F.col("_cl")) & (F.shiftright("code", 8) == F.col("_x")), "left").join(of, F.col("lang") == F.col("_l"), "left")
+        if lower is None:
+            below = F.lit(1 / 256)
+        else:
+            held = held.join(lower, (F.col("lang") == F.col("_pl")) & (F.col("code").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1)) == F.col("_pc")))
+            below = F.col("_p")
+        own = F.when(F.col("c") == 0, 0.0).when(F.col("c") == 1, 1 - F.col("d1")).when(F.col("c") == 2, 2 - F.col("d2")).otherwise(F.col("c") - F.col("d3"))
+        left = F.col("d1") * F.col("t1") + F.col("d2") * F.col("t2") + F.col("d3") * F.col("t3")
+        p = F.when(F.col("total") > 0, (own + left * below) / F.col("total")).otherwise(below)
+        lower = held.select(F.col("lang").alias("_pl"), F.col("code").alias("_pc"), p.alias("_p"))
+    return lower.select(F.col("_pl").alias("lang"), F.col("_pc").alias("code"), F.log("_p").cast("float").alias("log_p"))
+
+
+def _named(codes: np.ndarray, name: str) -> np.ndarray:
+    return mix64(codes ^ np.uint64(xxhash.xxh64_intdigest(name.encode())))
+
+
+def _answer(requests: pa.Table, model: pa.Table) -> pa.Table:
+    """For each request the log-probabilities in its language's and in the pooled model, looked up in sorted hashes."""
+    if not requests.num_rows:
+        return packed_rows([])
+    names = model.column("lang").to_pylist()
+    codes = model.column("code").to_numpy().astype(np.uint64)
+    seeds = {x: np.uint64(xxhash.xxh64_intdigest(x.encode())) for x in set(names)}
+    hashes = mix64(codes ^ np.array([seeds[x] for x in names], np.uint64))
+    order = np.argsort(hashes)
+    hashes, logs = hashes[order], model.column("log_p").to_numpy()[order]
+    rows = []
+    for block, payload in zip(requests.column("block").to_pylist(), requests.column("payload").to_pylist(), strict=True):
+        name, codes, _ = _read(payload)
+        found = [logs[np.searchsorted(hashes, _named(codes, x))].astype(np.float32).tobytes() for x in (name, _POOLED)]
+        key = name.encode()
+        rows.append((requests.column("bucket")[0].as_py(), block, 2, np.array([len(key)], np.int32).tobytes() + key + b"".join(found)))
+    return packed_rows(rows)
 
 
 def base_metrics(body: bytes) -> tuple[int, int, int, int, int]:
@@ -178,14 +206,21 @@ def base_metrics(body: bytes) -> tuple[int, int, int, int, int]:
     chars = len(solid.decode("utf-8", "replace"))
     repeated = 0
     if len(words) > WINDOW:
-        windows = list(zip(*[words[i:] for i in range(WINDOW)], strict=False))
-        if len(set(windows)) < len(windows):
-            often = Counter(windows)
-            at = np.flatnonzero(np.fromiter((often[x] > 1 for x in windows), bool, len(windows)))
-            step = np.zeros(len(words) + 1, np.int64)
-            np.add.at(step, at, 1)
-            np.add.at(step, at + WINDOW, -1)
-            repeated = int(np.count_nonzero(np.cumsum(step)[:-1]))
+        # Windows are numbered by doubling: equal numbers are equal windows, and no window is ever spelled out.
+        known: dict[bytes, int] = {}
+        number = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+        size = 1
+        while size < WINDOW and len(known) < len(words):
+            _, number = np.unique(number[:-size] * len(words) + number[size:], return_inverse=True)
+            size *= 2
+        if size == WINDOW:
+            often = np.bincount(number)[number] > 1
+            if often.any():
+                step = np.zeros(len(words) + 1, np.int64)
+                at = np.flatnonzero(often)
+                np.add.at(step, at, 1)
+                np.add.at(step, at + WINDOW, -1)
+                repeated = int(np.count_nonzero(np.cumsum(step)[:-1]))
     return len(words), chars, len(solid) - len(solid.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated
 
 
@@ -202,85 +237,73 @@ def eased(own: np.ndarray, pooled: np.ndarray, first: np.ndarray, last: np.ndarr
     return np.bincount(whose, least, len(first)) / np.maximum(last - first, 1)
 
 
-def score(docs: DataFrame, models: dict[str, tuple[bytes, bytes]], pooled: tuple[bytes, bytes] | None, carry: tuple[str, ...], text: str = "text", lang: str = "lang") -> DataFrame:
-    """The carried columns, lang, the base metrics, n_grams, nats (mean surprise of a trigram; null without any) and eased nats."""
-    sent = docs.sparkSession.sparkContext.broadcast((models, pooled))
+def _score(buckets: int, carry: tuple[str, ...]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        asked = Asked(table, buckets)
+        n = asked.table.num_rows
+        told = {}
+        for bucket, payload in zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist(), strict=True):
+            size = int(np.frombuffer(payload, np.int32, 1)[0])
+            told[bucket, payload[4 : 4 + size]] = np.frombuffer(payload[4 + size :], np.float32).reshape(2, -1)
+        logs = {name: np.zeros((2, len(codes))) for name, _, _, _, _, codes, _, _ in asked.languages}
+        for bucket, name, _, _, own in asked.requests():
+            logs[name.decode()][:, own] = told[bucket, name]
+        count, nats, easy = np.zeros(n, np.int64), np.full(n, np.nan), np.full(n, np.nan)
+        for name, rows, first, last, which, *_ in asked.languages:
+            mine, pooled = (np.concatenate(([0.0], np.cumsum(x[which]))) for x in logs[name])
+            size = last - first
+            count[rows] = size
+            nats[rows] = np.where(size > 0, -(mine[last] - mine[first]) / np.maximum(size, 1), np.nan)
+            easy[rows] = np.where(size > 0, eased(mine, pooled, first, last), np.nan)
+        metrics = np.array([base_metrics(x.as_py()) for x in asked.table.column("_text").cast(pa.large_binary())], np.int64).reshape(-1, 5)
+        columns = {c: asked.table.column(f"_c{i}") for i, c in enumerate(carry)} | {"_lang": asked.table.column("_lang")}
+        columns |= {m: pa.array(metrics[:, i]) for i, m in enumerate(METRICS)} | {"n_grams": pa.array(count)}
+        return pa.table(columns | {"nats": pa.array(nats, from_pandas=True), "eased": pa.array(easy, from_pandas=True)})
+
+    return run
+
+
+def score(docs: DataFrame, carry: tuple[str, ...], text: str = "text", lang: str = "lang") -> DataFrame:
+    """The carried columns, _lang, the base metrics, n_grams, nats (mean surprise of an n-gram; null without any) and eased nats."""
     kinds = dict(docs.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
-        models, pooled = sent.value
-        common = table_of(*pooled) if pooled else None
-        for batch in batches:
-            bodies = batch.column(batch.num_columns - 1).cast(pa.binary())
-            metrics = np.array([base_metrics(x.as_py()) for x in bodies], np.int64).reshape(-1, 5)
-            names = batch.column(batch.num_columns - 2)
-            grams, nats, easy = np.zeros(len(batch), np.int64), np.full(len(batch), np.nan), np.full(len(batch), np.nan)
-            rows = np.arange(len(batch))
-            for name in pc.unique(names).to_pylist():
-                if name not in models:
-                    continue
-                if name not in tables:
-                    tables[name] = table_of(*models[name])
-                mine = pc.equal(names, name)
-                at = rows[mine.to_numpy(zero_copy_only=False)]
-                own = batch.filter(mine)
-                for step in text_steps(own):
-                    codes, where = trigrams(step.data, step.stop)
-                    sums = np.concatenate(([0.0], np.cumsum(tables[name][codes], dtype=np.float64)))
-                    first, last = np.searchsorted(where, step.start), np.searchsorted(where, step.stop)
-                    n = last - first
-                    grams[at[step.rows]] = n
-                    nats[at[step.rows]] = np.where(n > 0, -(sums[last] - sums[first]) / np.maximum(n, 1), np.nan)
-                    others = np.concatenate(([0.0], np.cumsum(common[codes], dtype=np.float64)))
-                    easy[at[step.rows]] = np.where(n > 0, eased(sums, others, first, last), np.nan)
-            arrays = [*batch.columns[:-1], *[pa.array(metrics[:, i]) for i in range(5)], pa.array(grams), pa.array(nats, from_pandas=True), pa.array(easy, from_pandas=True)]
-            yield pa.RecordBatch.from_arrays(arrays, [*carry, "lang", *METRICS, "n_grams", "nats", "eased"])
-
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "lang string", *(f"{m} long" for m in METRICS), "n_grams long", "nats double", "eased double"])
-    columns = [*carry, whole(F.col(lang).cast("string")).alias("_lang"), whole(text).alias("text")]
-    return docs.select(*columns).mapInArrow(run, schema)
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES)) | 1
+    held = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
+    body = docs.select(whole(text).alias("_text"), whole(F.col(lang).cast("string")).alias("_lang"), *held)
+    salt = F.xxhash64("_text", *[F.col(f"_c{i}").cast("string") for i in range(len(carry))])
+    by_block = body.withColumn("block", F.pmod(salt, F.lit(blocks))).repartition(blocks, "block").groupBy("block")
+    asked = by_block.applyInArrow(_tell(buckets), PACKED).groupBy("bucket")
+    model = kneser_ney(durable(asked.applyInArrow(_add_up, "lang string, code long, n long")))
+    dealt = model.withColumn("bucket", F.col("code") % F.lit(buckets)).groupBy("bucket")
+    answers = asked.cogroup(dealt).applyInArrow(_answer, PACKED)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "_lang string", *(f"{m} long" for m in METRICS), "n_grams long", "nats double", "eased double"])
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_score(buckets, carry), schema)
 
 
 def bands(scored: DataFrame, of: str = "nats") -> DataFrame:
     """(lang, centre, spread): the median of a column and its robust deviation, from counts of fine bins."""
-    bins = scored.filter(F.col(of).isNotNull()).groupBy("lang", F.round(F.col(of) * BINS).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    centre = bins.groupBy("lang").agg(F.expr("percentile(bin, 0.5, n)").alias("centre"))
-    apart = bins.join(centre, "lang").withColumn("apart", F.abs(F.col("bin") - F.col("centre")))
-    spread = apart.groupBy("lang").agg(F.first("centre").alias("centre"), F.expr("percentile(apart, 0.5, n)").alias("apart"))
-    return spread.select("lang", (F.col("centre") / BINS).alias("centre"), (F.greatest(F.col("apart") * 1.4826, F.lit(5.0)) / BINS).alias("spread"))
+    bins = scored.filter(F.col(of).isNotNull()).groupBy("_lang", F.round(F.col(of) * BINS).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    centre = bins.groupBy("_lang").agg(F.expr("percentile(bin, 0.5, n)").alias("centre"))
+    apart = bins.join(centre, "_lang").withColumn("apart", F.abs(F.col("bin") - F.col("centre")))
+    spread = apart.groupBy("_lang").agg(F.first("centre").alias("centre"), F.expr("percentile(apart, 0.5, n)").alias("apart"))
+    return spread.select("_lang", (F.col("centre") / BINS).alias("centre"), (F.greatest(F.col("apart") * 1.4826, F.lit(5.0)) / BINS).alias("spread"))
 
 
 def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", lang: str = "lang") -> DataFrame:
     """The carried columns, the base metrics, base_failed, kept, nats and perplexity.
 
     Defined cases: a null text has no words and so fails the base rules; a null language is the empty one; a text
-    without a trigram has no perplexity and is judged by the base rules only; repeated rows are judged
+    without an n-gram has no perplexity and is judged by the base rules only; repeated rows are judged
     alike; an empty table gives no rows; other columns are ignored. Every text is counted for the model.
-    A model has at most 64**3 entries, so at most LANGUAGES_AT_ONCE times 3 MB are sent to an
-    executor at once; with more languages the scoring goes over them in blocks.
     """
-    counts = durable(count_trigrams(docs, text, lang))
-    kind = "lang string, hashes binary, logs binary"
-    models = durable(counts.groupBy("lang").applyInPandas(fit, kind))
-    every = counts.groupBy(F.lit("").alias("lang"), "code").agg(F.sum("n").alias("n")).groupBy("lang").applyInPandas(fit, kind).first()
-    pooled = (bytes(every["hashes"]), bytes(every["logs"])) if every else None
-    names = sorted(r["lang"] for r in models.select("lang").collect())
-    blocks = [names[i : i + LANGUAGES_AT_ONCE] for i in range(0, len(names), LANGUAGES_AT_ONCE)] or [[]]
-    parts = []
-    for block in blocks:
-        loaded = {r["lang"]: (bytes(r["hashes"]), bytes(r["logs"])) for r in models.filter(F.col("lang").isin(block)).collect()} if block else {}
-        own = docs if len(blocks) == 1 else docs.filter(whole(F.col(lang).cast("string")).isin(block))
-        parts.append(score(own, loaded, pooled, carry, text, lang))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    scored = durable(scored)
+    scored = durable(score(docs, carry, text, lang))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    unit = F.col("spread") * F.sqrt(1 + F.lit(NOISE_BYTES) / F.greatest("n_grams", F.lit(1)))
-    low = (F.col("nats") - F.col("centre")) / unit < -BAND_BELOW
-    high = (F.col("eased") - F.col("high_centre")) / (unit / F.col("spread") * F.col("high_spread")) > BAND_ABOVE
+    unit = F.sqrt(1 + F.lit(NOISE_BYTES) / F.greatest("n_grams", F.lit(1)))
+    low = (F.col("nats") - F.col("centre")) / (unit * F.col("spread")) < -BAND_BELOW
+    high = (F.col("eased") - F.col("high_centre")) / (unit * F.col("high_spread")) > BAND_ABOVE
     odd = F.coalesce(low | high, F.lit(False))
-    upper = bands(scored, "eased").select("lang", F.col("centre").alias("high_centre"), F.col("spread").alias("high_spread"))
-    judged = scored.join(bands(scored), "lang", "left").join(upper, "lang", "left")
+    upper = bands(scored, "eased").select(F.col("_lang").alias("_l"), F.col("centre").alias("high_centre"), F.col("spread").alias("high_spread"))
+    both = durable(bands(scored).join(upper, F.col("_lang") == F.col("_l")).drop("_l").withColumnRenamed("_lang", "_l"))
+    sent = F.broadcast(both) if both.count() <= MOST_SENT_BANDS else both
+    judged = scored.join(sent, F.col("_lang") == F.col("_l"), "left")
     return judged.select(*carry, *METRICS, failed.alias("base_failed"), (~failed & ~odd).alias("kept"), "nats", F.exp("nats").alias("perplexity"))

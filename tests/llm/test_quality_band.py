@@ -20,8 +20,9 @@ def test_noise_is_rejected_and_a_quoted_language_is_not(spark, frame, corpus):
     foreign = [(10_000 + i, " ".join(random.Random(i).choices(other, k=80)), "fr") for i in range(1500)]
     quoting = (20_000, corpus[1][1] + " " + foreign[0][1] + " " + corpus[3][1], "en")
     noise = "".join(random.Random(9).choices([chr(c) for c in range(33, 126)] + [" "] * 9, k=3000))
+    hexes = " ".join("".join(rng.choices("0123456789abcdef", k=8)) for _ in range(100))
     letters = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(100))
-    judged = quality.judge(frame([*corpus, *foreign, quoting, (500_000, noise, "en"), (500_001, letters, "de")]))
+    judged = quality.judge(frame([*corpus, *foreign, quoting, (500_000, noise, "en"), (500_001, letters, "de"), (500_002, hexes, "en")]))
     got = {r.doc_id: r.kept for r in judged.collect()}
-    assert {d for d, kept in got.items() if not kept} == {500_000, 500_001}
+    assert {d for d, kept in got.items() if not kept} == {500_000, 500_001, 500_002}
     assert judged.filter(F.col("doc_id") >= 500_000).filter("base_failed").count() == 0
