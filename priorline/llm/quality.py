@@ -1,10 +1,11 @@
 """Quality rules with n-gram perplexity.
 
 The n-grams are runs of ORDER bytes, ASCII letters without case, so nothing bounds how many there are; every whole text is
-counted. Blocks of documents send buckets of n-grams their distinct ones with counts; Spark adds them up for each
-language and joins the orders of a modified Kneser-Ney model, which lies dealt over the buckets in sorted arrays of
-hashes. A bucket answers each block in the order it was asked, so no model is ever whole in one place. An n-gram's own
-occurrence is no evidence for it: counts are less one.
+counted. Spark adds the counts up for each language and joins the orders of a modified Kneser-Ney model, which grows
+with the corpus. An n-gram's own occurrence is no evidence for it: counts are less one. The model is looked up in sorted
+arrays of hashes. While it has MOST_SENT_GRAMS n-grams at most, these are sent to all tasks and the texts stay where they
+are; beyond, they are dealt over buckets, blocks of documents ask each bucket for their distinct n-grams, and a bucket
+answers in the order it was asked, so that no model is ever whole in one place. Both ways give the same numbers.
 
 A document is rejected by the base rules, or because its perplexity lies below the band of its language, or above it
 segment by segment even if each may follow the model of all languages together.
@@ -17,7 +18,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +32,10 @@ MOST_REPEATED = 30
 ORDER = 5
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
+#: N-grams, of all languages together, that are sent to all tasks: 32 MB.
+MOST_SENT_GRAMS = 2_000_000
+#: Distinct n-grams that a counting task holds before it passes them on.
+MOST_HELD_GRAMS = 4_000_000
 #: The band's ends in robust standard deviations below and above the language's median, and the bytes at which
 #: a text's own noise doubles the variance.
 BAND_BELOW = 8.0
@@ -102,39 +106,64 @@ class Asked:
 def _tell(buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         rows = []
-        for bucket, name, codes, counts, _ in Asked(table, buckets).requests():
-            keys = packed(codes)
-            counted = np.minimum(counts, 255).astype(np.uint8)
-            more = counts[counts >= 255].astype(np.int64)
-            rows.append((bucket, block_number(table), 1, np.array([len(name), len(keys), len(codes)], np.int32).tobytes() + name + keys + counted.tobytes() + more.tobytes()))
+        for bucket, name, codes, _, _ in Asked(table, buckets).requests():
+            rows.append((bucket, block_number(table), 1, np.array([len(name)], np.int32).tobytes() + name + packed(codes)))
         return packed_rows(rows)
 
     return run
 
 
-def _read(payload: bytes) -> tuple[str, np.ndarray, np.ndarray]:
-    """A request's language, codes and counts."""
-    a, b, n = np.frombuffer(payload, np.int32, 3).tolist()
-    codes = unpacked(payload[12 + a : 12 + a + b])
-    counts = np.frombuffer(payload, np.uint8, n, 12 + a + b).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(payload[12 + a + b + n :], np.int64)
-    return payload[12 : 12 + a].decode(), codes, counts
+def _read(payload: bytes) -> tuple[bytes, bytes]:
+    """The language of a request or an answer, and the rest."""
+    size = int(np.frombuffer(payload, np.int32, 1)[0])
+    return payload[4 : 4 + size], payload[4 + size :]
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    """The counts of a bucket's n-grams, for each language and for all together."""
-    found: dict[str, list] = {}
-    for payload in table.column("payload").to_pylist():
-        name, codes, counts = _read(payload)
-        found.setdefault(name, []).append((codes, counts))
-        found.setdefault(_POOLED, []).append((codes, counts))
-    parts = []
-    for name, asked in found.items():
-        codes, which = np.unique(np.concatenate([c for c, _ in asked]), return_inverse=True)
-        n = np.zeros(len(codes), np.int64)
-        np.add.at(n, which, np.concatenate([x for _, x in asked]))
-        parts.append(pa.table({"lang": pa.array([name] * len(codes), pa.string()), "code": pa.array(codes.astype(np.int64)), "n": pa.array(n)}))
-    return pa.concat_tables(parts)
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, which = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    n = np.zeros(len(codes), np.int64)
+    np.add.at(n, which, np.concatenate([x for _, x in parts]))
+    return codes, n
+
+
+def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, code, n) over every whole text, and over all languages together; a null language counts as the empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for name, parts in held.items():
+                codes, n = _merged(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n)], ["lang", "code", "n"])
+            held.clear()
+
+        for batch in batches:
+            for name in pc.unique(batch.column(0)).to_pylist():
+                for step in text_steps(batch.filter(pc.equal(batch.column(0), name))):
+                    found = np.unique(grams(step.data, step.stop)[0], return_counts=True)
+                    held.setdefault(name, []).append(found)
+                    size += len(found[0])
+            if size > MOST_HELD_GRAMS:
+                for name, parts in held.items():
+                    held[name] = [_merged(parts)]
+                size = sum(len(parts[0][0]) for parts in held.values())
+                if size > MOST_HELD_GRAMS // 2:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    pairs = docs.select(whole(F.col(lang).cast("string")).alias("lang"), whole(text).alias("text"))
+    return pairs.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+def fit(counts: DataFrame) -> DataFrame:
+    """(lang, code, own, pooled): each n-gram's log-probability in its language's model and in that of all languages."""
+    every = counts.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(_POOLED).alias("lang"), "code", "n")
+    model = durable(kneser_ney(counts.select("lang", "code", "n").unionByName(every)))
+    pooled = model.filter(F.col("lang") == _POOLED).select("code", F.col("log_p").alias("pooled"))
+    return durable(model.filter(F.col("lang") != _POOLED).join(pooled, "code").select("lang", "code", F.col("log_p").alias("own"), "pooled"))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
@@ -175,26 +204,30 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return lower.select(F.col("_pl").alias("lang"), F.col("_pc").alias("code"), F.log("_p").cast("float").alias("log_p"))
 
 
-def _named(codes: np.ndarray, name: str) -> np.ndarray:
-    return mix64(codes ^ np.uint64(xxhash.xxh64_intdigest(name.encode())))
-
-
-def _answer(requests: pa.Table, model: pa.Table) -> pa.Table:
-    """For each request the log-probabilities in its language's and in the pooled model, looked up in sorted hashes."""
-    if not requests.num_rows:
-        return packed_rows([])
-    names = model.column("lang").to_pylist()
-    codes = model.column("code").to_numpy().astype(np.uint64)
-    seeds = {x: np.uint64(xxhash.xxh64_intdigest(x.encode())) for x in set(names)}
-    hashes = mix64(codes ^ np.array([seeds[x] for x in names], np.uint64))
-    order = np.argsort(hashes)
-    hashes, logs = hashes[order], model.column("log_p").to_numpy()[order]
-    rows = []
-    for block, payload in zip(requests.column("block").to_pylist(), requests.column("payload").to_pylist(), strict=True):
-        name, codes, _ = _read(payload)
-        found = [logs[np.searchsorted(hashes, _named(codes, x))].astype(np.float32).tobytes() for x in (name, _POOLED)]
-        key = name.encode()
-        rows.append((requests.column("bucket")[0].as_py(), block, 2, np.array([len(key)], np.int32).tobytes() + key + b"".join(found)))
+class Model:
+    """Log-probabilities of n-grams of some languages in sorted arrays of their hashes."""
+
+    def __init__(self, table: pa.Table) -> None:
+        names = table.column("lang")
+        self.held = {}
+        for name in pc.unique(names).to_pylist():
+            own = table.filter(pc.equal(names, name))
+            hashes = mix64(own.column("code").to_numpy().astype(np.uint64))
+            order = np.argsort(hashes)
+            self.held[name] = hashes[order], np.stack([own.column(c).to_numpy()[order] for c in ("own", "pooled")])
+
+    def logs(self, name: str, codes: np.ndarray) -> np.ndarray:
+        """Two rows: in the language's model and in the pooled one."""
+        hashes, values = self.held.get(name, (None, np.zeros((2, 0), np.float32)))
+        return values[:, np.searchsorted(hashes, mix64(codes))] if len(codes) else values[:, :0]
+
+
+def _answer(requests: pa.Table, table: pa.Table) -> pa.Table:
+    """For each request the log-probabilities in its language's and in the pooled model."""
+    rows, model = [], Model(table)
+    for bucket, block, payload in zip(*(requests.column(c).to_pylist() for c in ("bucket", "block", "payload")), strict=True):
+        key, codes = _read(payload)
+        rows.append((bucket, block, 2, np.array([len(key)], np.int32).tobytes() + key + model.logs(key.decode(), unpacked(codes)).tobytes()))
     return packed_rows(rows)
 
 
@@ -237,28 +270,55 @@ def eased(own: np.ndarray, pooled: np.ndarray, first: np.ndarray, last: np.ndarr
     return np.bincount(whose, least, len(first)) / np.maximum(last - first, 1)
 
 
-def _score(buckets: int, carry: tuple[str, ...]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+MEASURED = ", ".join(["_lang string", *(f"{m} long" for m in METRICS), "n_grams long", "nats double", "eased double"])
+
+
+def _sums(logs: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n_grams, nats and eased nats of the texts that hold the n-grams first:last."""
+    mine, pooled = (np.concatenate(([0.0], np.cumsum(x, dtype=np.float64))) for x in logs)
+    size = last - first
+    nats = -(mine[last] - mine[first]) / np.maximum(size, 1)
+    return size, np.where(size > 0, nats, np.nan), np.where(size > 0, eased(mine, pooled, first, last), np.nan)
+
+
+def _measured(texts: pa.ChunkedArray, names: pa.ChunkedArray, sums: np.ndarray) -> dict[str, pa.Array]:
+    metrics = np.array([base_metrics(x.as_py()) for x in texts.cast(pa.large_binary())], np.int64).reshape(-1, 5)
+    out = {"_lang": names} | {m: pa.array(metrics[:, i]) for i, m in enumerate(METRICS)} | {"n_grams": pa.array(sums[0].astype(np.int64))}
+    return out | {"nats": pa.array(sums[1], from_pandas=True), "eased": pa.array(sums[2], from_pandas=True)}
+
+
+def _score_block(buckets: int, carry: tuple[str, ...]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         asked = Asked(table, buckets)
-        n = asked.table.num_rows
         told = {}
         for bucket, payload in zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist(), strict=True):
-            size = int(np.frombuffer(payload, np.int32, 1)[0])
-            told[bucket, payload[4 : 4 + size]] = np.frombuffer(payload[4 + size :], np.float32).reshape(2, -1)
-        logs = {name: np.zeros((2, len(codes))) for name, _, _, _, _, codes, _, _ in asked.languages}
-        for bucket, name, _, _, own in asked.requests():
-            logs[name.decode()][:, own] = told[bucket, name]
-        count, nats, easy = np.zeros(n, np.int64), np.full(n, np.nan), np.full(n, np.nan)
+            key, found = _read(payload)
+            told[bucket, key] = np.frombuffer(found, np.float32).reshape(2, -1)
+        logs = {name: np.zeros((2, len(codes)), np.float32) for name, _, _, _, _, codes, _, _ in asked.languages}
+        for bucket, key, _, _, own in asked.requests():
+            logs[key.decode()][:, own] = told[bucket, key]
+        sums = np.zeros((3, asked.table.num_rows))
         for name, rows, first, last, which, *_ in asked.languages:
-            mine, pooled = (np.concatenate(([0.0], np.cumsum(x[which]))) for x in logs[name])
-            size = last - first
-            count[rows] = size
-            nats[rows] = np.where(size > 0, -(mine[last] - mine[first]) / np.maximum(size, 1), np.nan)
-            easy[rows] = np.where(size > 0, eased(mine, pooled, first, last), np.nan)
-        metrics = np.array([base_metrics(x.as_py()) for x in asked.table.column("_text").cast(pa.large_binary())], np.int64).reshape(-1, 5)
-        columns = {c: asked.table.column(f"_c{i}") for i, c in enumerate(carry)} | {"_lang": asked.table.column("_lang")}
-        columns |= {m: pa.array(metrics[:, i]) for i, m in enumerate(METRICS)} | {"n_grams": pa.array(count)}
-        return pa.table(columns | {"nats": pa.array(nats, from_pandas=True), "eased": pa.array(easy, from_pandas=True)})
+            sums[:, rows] = _sums(logs[name][:, which], first, last)
+        columns = {c: asked.table.column(f"_c{i}") for i, c in enumerate(carry)}
+        return pa.table(columns | _measured(asked.table.column("_text"), asked.table.column("_lang"), sums))
+
+    return run
+
+
+def _score_batches(sent, carry: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(1)
+            sums = np.zeros((3, len(batch)))
+            for name in pc.unique(names).to_pylist():
+                mine = pc.equal(names, name)
+                rows = np.flatnonzero(mine.to_numpy(zero_copy_only=False))
+                for step in text_steps(batch.filter(mine), "_text"):
+                    codes, at = grams(step.data, step.stop)
+                    sums[:, rows[step.rows]] = _sums(sent.value.logs(name, codes), np.searchsorted(at, step.start), np.searchsorted(at, step.stop))
+            columns = dict(zip(carry, batch.columns[2:], strict=True)) | _measured(batch.column(0), names, sums)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
@@ -266,18 +326,19 @@ def _score(buckets: int, carry: tuple[str, ...]) -> Callable[[pa.Table, pa.Table
 def score(docs: DataFrame, carry: tuple[str, ...], text: str = "text", lang: str = "lang") -> DataFrame:
     """The carried columns, _lang, the base metrics, n_grams, nats (mean surprise of an n-gram; null without any) and eased nats."""
     kinds = dict(docs.dtypes)
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES)) | 1
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), MEASURED])
     held = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
     body = docs.select(whole(text).alias("_text"), whole(F.col(lang).cast("string")).alias("_lang"), *held)
+    model = fit(durable(count_grams(docs, text, lang)))
+    if model.count() <= MOST_SENT_GRAMS:
+        return body.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(Model(model.toArrow())), carry), schema)
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES)) | 1
     salt = F.xxhash64("_text", *[F.col(f"_c{i}").cast("string") for i in range(len(carry))])
     by_block = body.withColumn("block", F.pmod(salt, F.lit(blocks))).repartition(blocks, "block").groupBy("block")
     asked = by_block.applyInArrow(_tell(buckets), PACKED).groupBy("bucket")
-    model = kneser_ney(durable(asked.applyInArrow(_add_up, "lang string, code long, n long")))
-    dealt = model.withColumn("bucket", F.col("code") % F.lit(buckets)).groupBy("bucket")
-    answers = asked.cogroup(dealt).applyInArrow(_answer, PACKED)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "_lang string", *(f"{m} long" for m in METRICS), "n_grams long", "nats double", "eased double"])
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_score(buckets, carry), schema)
+    answers = asked.cogroup(model.withColumn("bucket", F.col("code") % F.lit(buckets)).groupBy("bucket")).applyInArrow(_answer, PACKED)
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_score_block(buckets, carry), schema)
 
 
 def bands(scored: DataFrame, of: str = "nats") -> DataFrame:

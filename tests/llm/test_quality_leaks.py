@@ -126,6 +126,8 @@ def test_quality_keeps_clean_and_the_band_rejects(spark, frame, corpus, awkward,
 
 def test_blocks_and_buckets_change_nothing(spark, frame, corpus, monkeypatch):
     want = {r.doc_id: r.perplexity for r in quality.judge(frame(corpus)).collect()}
+    monkeypatch.setattr(quality, "MOST_SENT_GRAMS", 0)
+    monkeypatch.setattr(quality, "MOST_HELD_GRAMS", 100)
     monkeypatch.setattr(quality, "BLOCK_BYTES", 20_000)
     monkeypatch.setattr(quality, "BUCKET_BYTES", 20_000)
     monkeypatch.setattr(quality, "MOST_SENT_BANDS", 0)
