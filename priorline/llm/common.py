@@ -30,14 +30,22 @@ def whole(column: str | Column) -> Column:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through the cluster's shared checkpoint folder; lost executors cost nothing then.
 
-    A folder of our own is taken only where the session names none, as in tests on one machine.
+    A folder of our own is taken only where the session names none and runs on one machine, as in tests.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def without(docs: DataFrame, names: list[str]) -> DataFrame:
+    """Docs without the columns of these names in any case, which is how Spark tells names apart."""
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
+
+
 def packed(docs: DataFrame) -> Column:
     """All columns as one, _row, so that no name of theirs can clash with an operator's own; "_row.*" brings them back."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")

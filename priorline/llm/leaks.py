@@ -40,12 +40,17 @@ def words_of(lowered: bytes) -> list[bytes]:
     return lowered.translate(_PUNCTUATION).split()
 
 
+def lowered(text: str) -> str:
+    """The text without case, by the same rules as the corpus's texts."""
+    return pc.utf8_lower(pa.scalar(text)).as_py()
+
+
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     """An item's last sentence (or line) is its answer; an item of one sentence has its last fifth as answer."""
-    parts = [p for p in re.split(r"(?<=[.!?])\s+|\n+", text.lower()) if words_of(p.encode())]
+    parts = [p for p in re.split(r"(?<=[.!?])\s+|\n+", lowered(text)) if words_of(p.encode())]
     if len(parts) > 1:
         return words_of(" ".join(parts[:-1]).encode()), words_of(parts[-1].encode())
-    words = words_of(text.lower().encode())
+    words = words_of(lowered(text).encode())
     cut = len(words) - max(1, len(words) // 5) if len(words) > 1 else len(words)
     return words[:cut], words[cut:]
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from priorline.llm.common import WORD, packed, whole
+from priorline.llm.common import WORD, packed, whole, without
 
 CELL_ROWS = 20_000
 
@@ -43,15 +43,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Adds size, source_size, target, copies and taken to every row; copies says how often the mix takes it.
 
-    Defined cases: a null text has size 0, a null source is the last source, a null key sorts as the word
-    null, repeated rows are rows of their own, a source without words gets no copies, an empty table
-    gives no rows, and columns of these names in the input are replaced. Copies never exceed `most`,
+    Defined cases: a null text has size 0, a null source is the last source, a null key sorts just behind the word
+    null, rows with one key sort by size and by a hash of the text, repeated rows are rows of their own, a source without words gets no copies, an empty table
+    gives no rows, and columns of these names in any case are replaced. Copies never exceed `most`,
     rounded up. The order within a source is by size class, then by a hash of the key, so that every size class
     is sampled evenly; it is dealt into cells of that order, whose counts are all that is summed along a source.
     Reruns give the same rows.
     """
     taken = ["size", "source_size", "target", "copies", "taken"]
-    docs = docs.drop(*[c for c in docs.columns if c in taken])
+    docs = without(docs, taken)
     rows = docs.count()
     digits = max(1, math.ceil(math.log(max(rows / (40 * CELL_ROWS), 1), 16)) + 1)
     bits = F.bin("size")
@@ -61,6 +61,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
             F.regexp_count(whole(F.col(text).cast("string")), F.lit(WORD)).cast("long").alias("size"),
             F.col(source).alias("_source"),
             F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("_key"),
+            F.col(key).isNull().alias("_no_key"),
+            F.xxhash64(whole(F.col(text).cast("string"))).alias("_body"),
         )
         .withColumn("_hash", F.md5("_key"))
         .withColumn("_class", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 3)))
@@ -76,7 +78,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
         .withColumn("_u", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_source"), F.lit("")))), 1, 5), 16, 10).cast("double") / float(1 << 20))
         .select(F.col("_source").alias("_s"), F.col("_cell").alias("_c"), "source_size", "target", "_before", "_rate", "_u")
     )
-    inside = Window.partitionBy("_source", "_cell").orderBy("_hash", "_key", "size")
+    inside = Window.partitionBy("_source", "_cell").orderBy("_hash", "_key", "size", "_no_key", "_body")
     numbered = named.withColumn("_rank", F.row_number().over(inside)).join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
     upto = F.col("_before") + F.col("_rank")
     copies = F.floor(F.col("_u") + F.col("_rate") * upto) - F.floor(F.col("_u") + F.col("_rate") * (upto - 1))

@@ -23,10 +23,11 @@ KINDS = ("email", "ip", "card", "phone")
 LEAST_SEEDS = 3
 LEAST_PURITY = 0.8
 LEAST_SCORE = 0.5
-ROUNDS = 4
+#: The rounds end when no pattern names an unseen instance; each round names some, and more rounds than these are an error.
+MOST_ROUNDS = 100
 #: A token that may be an identifier has so many digits.
 LEAST_DIGITS = 5
-#: Code points before an instance that are searched for its two words.
+#: Code points before an instance that are searched for its two words at first; more if they hold no two.
 REACH = 96
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,9 +35,11 @@ _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_TOKEN = re.compile(r"[0-9(][0-9()./-]*(?:\x20[0-9()./-]*[0-9][0-9()./-]*)+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]+")
+_AT = re.compile(r"[(\[{]at[)\]}]", re.IGNORECASE)
 _DIGIT = re.compile(r"[0-9]")
 _LETTERS = bytes(range(48, 58)) + b"@"
+_HIDDEN = tuple(a + b + c for a, c in ((b"(", b")"), (b"[", b"]"), (b"{", b"}")) for b in (b"at", b"At", b"aT", b"AT"))
 
 
 def luhn(digits: str) -> bool:
@@ -78,7 +81,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def patterns_before(text: str, start: int) -> list[str]:
     """Lexical patterns of an instance: the word before it, if it ends as a label does, and the two words before it."""
-    words = text[max(0, start - REACH) : start].split()
+    reach = REACH
+    words = text[max(0, start - reach) : start].split()
+    while len(words) < 3 and reach < start:
+        reach *= 4
+        words = text[max(0, start - reach) : start].split()
     if not words:
         return []
     last = re.sub(r"[0-9]", "9", words[-1].lower())
@@ -93,15 +100,17 @@ def _value(token: str) -> int:
 
 
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Seeds and candidates with their patterns; a candidate is a token with digits that no base span touches."""
+    """Seeds and candidates with their patterns; a candidate is a token with digits, a run of groups of digits or a
+    token with a spelt-out @, that no base span touches."""
     found = [{"start": a, "stop": b, "kind": KINDS[k], "value": _value(text[a:b]), "patterns": patterns_before(text, a)} for a, b, k in base]
     at, spans = 0, [(a, b) for a, b, _ in base]
     for m in _TOKEN.finditer(text):
-        if len(_DIGIT.findall(m[0])) < LEAST_DIGITS:
+        hidden = _AT.search(m[0]) is not None
+        if len(_DIGIT.findall(m[0])) < LEAST_DIGITS and not hidden:
             continue
         a, b = m.span()
         core = re.search(r"[:=]([^:=]*)\Z", m[0])
-        if core and len(_DIGIT.findall(core[1])) >= LEAST_DIGITS:
+        if core and (len(_DIGIT.findall(core[1])) >= LEAST_DIGITS or _AT.search(core[1])):
             a = m.start() + core.start(1)
         while b > a and text[b - 1] in ".,;:!?)\"'":
             b -= 1
@@ -127,7 +136,7 @@ def read_mentions(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: s
             bases, found = [], []
             for x in batch.column(batch.num_columns - 1).cast(pa.binary()):
                 body = x.as_py()
-                if len(body.translate(None, _LETTERS)) == len(body):
+                if len(body.translate(None, _LETTERS)) == len(body) and not any(x in body for x in _HIDDEN):
                     bases.append([])
                     found.append([])
                     continue
@@ -141,7 +150,7 @@ def read_mentions(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: s
     return docs.select(*carry, whole(text).alias("_text")).mapInArrow(run, schema)
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def bootstrap(edges: DataFrame, rounds: int = MOST_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(pattern, value, kind or null, n) to (values: value, kind, score) and (patterns: pattern, kind, score).
 
     A pattern's kind is the most frequent one among its seeds; its score is the share of its instances that are
@@ -166,9 +175,9 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
         best = scored.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).select("value", F.col("b.kind").alias("kind"), F.col("b.score").alias("score"), F.lit(False).alias("given"))
         more = durable(best.filter(F.col("score") >= LEAST_SCORE))
         if more.isEmpty():
-            break
+            return known, trusted
         known = durable(known.unionByName(more))
-    return known, trusted
+    raise RuntimeError(f"patterns and instances did not settle in {rounds} rounds")
 
 
 def digest(spans: Column) -> Column:

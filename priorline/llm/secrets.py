@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorline.llm.common import durable, whole
@@ -44,7 +44,7 @@ MORE_RULES = (
     Rule("web_token", 1, "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
     Rule("url_login", 1, "[a-z][a-z0-9+.-]{1,20}://[^\\x20\\x09-\\x0D/:@]{1,64}:[^\\x20\\x09-\\x0D/@]{3,128}@"),
 )
-SPANS = "array<struct<start:int,stop:int,kind_at:int,kind:string>>"
+SPANS = "array<struct<start:int,kind_at:int,stop:int,kind:string,rule:string>>"
 
 
 def find(text: Column, rule: Rule, at: int) -> Column:
@@ -57,7 +57,7 @@ def find(text: Column, rule: Rule, at: int) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["piece"])
         stop = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        found = F.struct(start.alias("start"), stop.alias("stop"), F.lit(at).alias("kind_at"), F.lit(rule.kind).alias("kind"))
+        found = F.struct(start.alias("start"), F.lit(at).alias("kind_at"), stop.alias("stop"), F.lit(rule.kind).alias("kind"), F.lit(rule.name).alias("rule"))
         fits = F.length(F.regexp_extract(x["hit"], rule.pattern, rule.group)) >= rule.least if rule.group else F.lit(True)
         more = F.when(x["hit"].isNotNull() & fits, F.concat(acc["found"], F.array(found).cast(SPANS))).otherwise(acc["found"])
         return F.struct(stop.alias("at"), more.alias("found"))
@@ -88,8 +88,23 @@ def scan(versions: DataFrame, rules: Sequence[Rule], ledger: DataFrame | None =
     return found
 
 
-def findings(versions: DataFrame, ledger: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of versions with the spans that the ledger has for its blob: (path, blob, spans)."""
+def append_ledger(fresh: DataFrame, folder: str) -> None:
+    """Adds new ledger rows to the stored ones."""
+    fresh.write.mode("append").parquet(folder)
+
+
+def load_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored ledger, all runs' rows."""
+    return spark.read.schema(f"blob string, rules array<string>, spans {SPANS}").parquet(folder)
+
+
+def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule], path: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every row of versions with what these rules' versions found in its blob by the ledger: (path, blob, spans).
+
+    What earlier versions of a rule found stays in the ledger and out of the result.
+    """
+    present = [r.name for r in rules]
+    ledger = ledger.withColumn("spans", F.filter("spans", lambda s: s["rule"].isin(present)))
     rows = versions.select(F.col(path).alias(path), F.sha2(whole(text).cast("binary"), 256).alias("blob"))
     hits = ledger.filter(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     return rows.join(hits, "blob", "left").select(path, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
@@ -112,7 +127,7 @@ def scan_documents(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RU
     """
     fresh = durable(scan(docs, rules, ledger))
     known = fresh if ledger is None else ledger.unionByName(fresh)
-    rows = findings(docs, known)
+    rows = findings(docs, known, rules)
     kinds = [r.kind for r in BASE_RULES]
     base = F.filter("spans", lambda s: s["kind"].isin(kinds))
     counted = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in kinds]

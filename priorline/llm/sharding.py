@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from priorline.llm.common import packed, whole
+from priorline.llm.common import packed, whole, without
 
 #: Rows that one sorted cell of a shard should hold at most, on average.
 CELL_ROWS = 20_000
@@ -31,7 +31,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, weights: Sequence[float] | Non
     """Adds size, text_crc32, law, shard, slot and grown_shard to every row.
 
     Defined cases: a null key is a key of its own; rows with one key share a shard; a null text counts
-    as empty; an empty table gives no rows; columns of these names in the input are replaced. Slots run
+    as empty; an empty table gives no rows; columns of these names in any case are replaced. Slots run
     from 0 without gaps within a shard, in the order of a hash of the key, and are numbered by cells of that
     hash: only cell counts are summed along a shard, so that no task sorts a whole shard. `weights` holds
     a relative capacity for each shard; the shard added for grown_shard gets the mean capacity.
@@ -40,12 +40,12 @@ def shard_rows(docs: DataFrame, shards: int = 24, weights: Sequence[float] | Non
     if len(weights) != shards or min(weights) <= 0:
         raise ValueError("one positive weight for each shard is needed")
     taken = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    docs = docs.drop(*[c for c in docs.columns if c in taken])
+    docs = without(docs, taken)
     rows = docs.count()
     digits = max(1, math.ceil(math.log(max(rows / (shards * CELL_ROWS), 1), 16)) + 1)
     body = whole(F.col(text).cast("string"))
     named = (
-        docs.select(packed(docs), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("_key"), body.alias("_text"))
+        docs.select(packed(docs), F.coalesce(F.col(key).cast("string"), F.lit("\x00")).alias("_key"), body.alias("_text"))
         .withColumn("_hash", F.md5("_key"))
         .withColumn("_cell", F.substring("_hash", 1, digits))
         .withColumn("size", F.octet_length("_text").cast("long") + 8)

@@ -165,7 +165,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """A row for each document: the carried columns, fingerprint and component_id.
+    """A row for each document: the carried columns, fingerprint, component_id and component, one of its fingerprints.
 
     Defined cases: a null text is an empty one, whose fingerprint is zero; rows with one doc_id are one
     document's; a row without doc_id links others but never names a component (one of such rows only is
@@ -178,6 +178,6 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text:
     roots = components(links(distinct))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.select("fp", "root").join(names, "root").select("fp", "component_id")
+    by_fp = placed.join(names, "root").select("fp", "root", "component_id")
     joined = made.join(by_fp, "fp", "left")
-    return joined.select(*carry, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return joined.select(*carry, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce("root", "fp").alias("component"))

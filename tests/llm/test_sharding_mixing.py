@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -28,6 +30,34 @@ def test_weights_and_awkward_rows(spark, frame, awkward):
     assert sharding.shard_rows(frame([])).count() == 0
 
 
+def test_shards_against_plain_rendezvous(spark, frame, words, awkward):
+    def best(key: str, shards: int) -> int:
+        def score(s: int) -> float:
+            u = (int(hashlib.md5(f"{key}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            return -math.log(u)
+
+        return min(range(shards), key=score)
+
+    rows = [(i, " ".join(words(i % 9, i))) for i in range(700)] + [(None if d is None else 10_000 + d, t) for d, t, *_ in awkward]
+    got = sharding.shard_rows(frame(rows), 24).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        key = "\0" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (best(key, 24), best(key, 25))
+
+
+def test_names_that_clash_in_any_case(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 5, 6)], "doc_id long, text string, source string, Size long, TAKEN long")
+    assert mixing.mix(docs).select("size", "taken").collect() == [(2, 2 * mixing.mix(docs).first()["copies"])]
+    assert sharding.shard_rows(docs).select("size").first()[0] == 11
+
+
+def test_mixing_of_ties_does_not_depend_on_the_order_of_rows(spark, frame):
+    rows = [(i % 3, f"{'x' * (i // 3 + 1)} tie", "en", "ab"[i % 5 == 0]) for i in range(90)] + [(None, "no key", "en", "a"), (None, "key no", "en", "a")]
+    copies = [Counter((r.doc_id, r.text, r.copies) for r in mixing.mix(frame(x)).collect()) for x in (rows, rows[::-1])]
+    assert copies[0] == copies[1]
+
+
 def brute_targets(sizes: dict, weights=(1, 2, 3)) -> dict:
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
