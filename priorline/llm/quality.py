@@ -34,6 +34,8 @@ BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
 #: N-grams, of all languages together, that are sent to all tasks: 32 MB.
 MOST_SENT_GRAMS = 2_000_000
+#: Bytes of the input, as Spark estimates them, that one task counts at least.
+COUNTED_BYTES = 4 << 20
 #: Distinct n-grams that a counting task holds before it passes them on.
 MOST_HELD_GRAMS = 4_000_000
 #: The band's ends in robust standard deviations below and above the language's median, and the bytes at which
@@ -154,7 +156,9 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
                     size = 0
         yield from flush()
 
-    pairs = docs.select(whole(F.col(lang).cast("string")).alias("lang"), whole(text).alias("text"))
+    # Small partitions are counted together: each counting task passes on its distinct n-grams, and those are much the same.
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    pairs = docs.select(whole(F.col(lang).cast("string")).alias("lang"), whole(text).alias("text")).coalesce(min(1 << 20, size // COUNTED_BYTES + 1))
     return pairs.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
