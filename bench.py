@@ -11,7 +11,7 @@ from priorline.session import build_session
 
 HEADLINE = (
     "pit_counts", "pit_league_prior", "pit_form", "pit_synergy", "pit_player_champion", "pit_continuity", "pit_provenance", "asof_prior",
-    "elo_team", "latent_design", "split_rolling", "metric_breakdowns", "metric_roc_auc", "quarantine_split", "series_validate", "release_gates",
+    "elo_team", "latent_design", "latent_features", "split_rolling", "metric_breakdowns", "metric_roc_auc", "quarantine_split", "series_validate", "release_gates",
 )
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 EDGE = 1e-6
 BINS = 10
 
+#: Cells of equal width into which probabilities are dealt for ranking.
+RANK_CELLS = 4096
+
 
 def clipped(p: Column) -> Column:
     return F.least(F.greatest(p, F.lit(EDGE)), F.lit(1 - EDGE))
@@ -46,12 +49,20 @@ def expected_calibration_error(scored: DataFrame, by: list[str] | None = None) -
 def roc_auc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The chance that a positive outranks a negative, ties counting half; null with one class only.
 
-    Rows meet as one per distinct probability, so running counts go over distinct values rather than rows.
+    Rows meet as one per distinct probability. Running counts go along the values of a cell of equal width, and along the
+    cells' totals, of which there are RANK_CELLS at most, so no task sees all values.
     """
     by = by or []
-    values = scored.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    cell = F.floor(F.col("p") * RANK_CELLS).alias("_cell")
+    values = scored.groupBy(*by, cell, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = values.groupBy(*by, "_cell").agg(F.sum("neg").alias("_neg")).withColumn("_before", F.coalesce(F.sum("_neg").over(before), F.lit(0))).drop("_neg")
+    inside = Window.partitionBy(*by, "_cell").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    met = cells.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_cell").alias("_c"), "_before")
+    same = F.col("_cell").eqNullSafe(F.col("_c"))
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    ranked = values.withColumn("_own", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(met, same).withColumn("below", F.col("_own") + F.col("_before"))
     won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return ranked.groupBy(*by).agg(F.try_divide(won, F.sum("pos") * F.sum("neg")).alias("auc"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,10 +67,11 @@ def metric_breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("dimension", "value", "n", *[F.round(c, 9).alias(c) for c in ("log_loss", "brier", "accuracy")])
 
 
-@query(f"WITH {SCORED_SQL} SELECT round(avg(loss), 9) AS log_loss, count(*) AS n FROM (SELECT * FROM x WHERE match_id % 5 = 0 UNION ALL SELECT * FROM x WHERE match_id % 5 = 1)")
+@query(f"WITH {SCORED_SQL} SELECT round(avg(loss), 9) AS log_loss, count(*) AS n FROM ({' UNION ALL '.join(f'SELECT * FROM x WHERE match_id % 5 = {k}' for k in range(5))})")
 def pooled_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
-    return s.filter("match_id % 5 = 0").unionByName(s.filter("match_id % 5 = 1")).agg(F.round(M.log_loss(F.col(Y), F.col(P)), 9).alias("log_loss"), F.count(F.lit(1)).alias("n"))
+    folds = [s.filter(F.col("match_id") % 5 == k) for k in range(5)]
+    return reduce(DataFrame.unionByName, folds).agg(F.round(M.log_loss(F.col(Y), F.col(P)), 9).alias("log_loss"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {SCORED_SQL} SELECT series_id, round(sum(loss), 6) AS loss, count(*) AS n FROM x GROUP BY series_id")

@@ -148,7 +148,7 @@ def role_matchup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_matchups(picks(spark, sf_dir)).select("match_id", "side", "role", "a", "b", "win")
 
 
-@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0), t AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 50 = 7),
+@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0), t AS (SELECT vec_id, label, embedding FROM embeddings),
 s AS (SELECT q.vec_id, t.label, max(greatest(0, least(1, 1 - list_sum(list_transform(range(1, 65), lambda i: abs(q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE))) / 64))) AS score FROM q, t GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS k FROM s)
 SELECT vec_id, max(label) FILTER (k = 1) AS label, round(max(score) FILTER (k = 1), 6) AS best, round(max(score) FILTER (k = 1) - max(score) FILTER (k = 2), 6) AS margin FROM r WHERE k <= 2 GROUP BY vec_id""")
@@ -156,7 +156,7 @@ def nearest_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     from priorline.operators.similarity import nearest
 
     e = table(spark, sf_dir, "embeddings")
-    found = nearest(e.filter("vec_id % 100 = 0").select("vec_id", "embedding"), e.filter("vec_id % 50 = 7").select("label", "embedding"))
+    found = nearest(e.filter("vec_id % 100 = 0").select("vec_id", "embedding"), e.select("label", "embedding"))
     return found.select("vec_id", "label", F.round("best", 6).alias("best"), F.round("margin", 6).alias("margin"))
 
 

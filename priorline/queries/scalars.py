@@ -73,14 +73,35 @@ def math_fns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT l_orderkey, l_linenumber, CAST(round_even(l_extendedprice / 64.0, 0) AS BIGINT) AS pixel FROM lineitem")
+def bankers_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_extendedprice") / 64.0, 0).cast("long").alias("pixel"))
+
+
+@query("""SELECT c_custkey, sha256('{"id":' || c_custkey || ',"nation":' || c_nationkey || ',"segment":"' || c_mktsegment || '"}') AS hash FROM customer""")
+def config_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SHA-256 of a row's canonical JSON: keys in order, no spaces."""
+    row = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(row, 256).alias("hash"))
+
+
+@query("""SELECT CAST(c_nationkey AS VARCHAR) AS k, arg_max(c_name, c_custkey) AS v FROM customer GROUP BY c_nationkey""")
+def kv_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key-value table after all upserts in order: each key's last value."""
+    from priorline.operators.storage import upserted
+
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("k"), F.col("c_name").alias("v"), F.col("c_custkey").alias("at"))
+    return upserted(rows, "k", "at").select("k", "v")
+
+
 @query("SELECT event_id, round(greatest(0.000001, least(0.999999, value / 100)), 9) AS p FROM events WHERE isfinite(value)")
 def clip_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter(T.finite(F.col("value"))).select("event_id", F.round(T.clip_probability(F.col("value") / 100), 9).alias("p"))
 
 
-@query("SELECT doc_id, substr(regexp_replace(substr(text, 1, 5000), '(password|token)\\s*=\\s*\\S+', '\\1=<redacted>', 'g'), 1, 4000) AS redacted FROM documents")
+@query("SELECT doc_id, substr(regexp_replace(text, '(password|token)\\s*=\\s*\\S+', '\\1=<redacted>', 'g'), 1, 4000) AS redacted FROM documents")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.redacted(F.substring("text", 1, 5000)).alias("redacted"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.redacted(F.col("text")).alias("redacted"))
 
 
 @query(f"WITH {MATCHES_SQL} SELECT match_id, strftime(ts, '%Y-%m') AS month, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS iso FROM m")

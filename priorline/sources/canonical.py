@@ -13,6 +13,9 @@ REQUEST = """request_schema_version string, match_timestamp string, league strin
  blue_player_ids array<string>, red_player_ids array<string>, blue_picks array<string>, red_picks array<string>,
  blue_bans array<string>, red_bans array<string>, first_pick_side string, fearless_bans array<string>"""
 RECORD = "match_id string, " + REQUEST + ", blue_win boolean"
+#: Fixed: the version of the record that is read; a record without one is taken as such.
+VERSION = "2"
+FIELDS = tuple(f.split()[0] for f in RECORD.replace("\n", "").split(","))
 LISTS = ("blue_players", "red_players", "blue_player_ids", "red_player_ids", "blue_picks", "red_picks", "blue_bans", "red_bans", "fearless_bans")
 
 
@@ -37,6 +40,9 @@ def checks() -> list[Q.Check]:
     blank_items = F.exists(F.flatten(F.array(*[F.coalesce(c(n), F.array().cast("array<string>")) for n in LISTS])), lambda x: _blank(x))
     zoned = c("match_timestamp").rlike("(Z|[+-]\\d{2}:?\\d{2})$") & F.try_to_timestamp("match_timestamp").isNotNull()
     return [
+        ("extra_field", F.size("_extra") > 0),
+        ("invalid_schema_version", F.coalesce(c("request_schema_version"), F.lit(VERSION)) != VERSION),
+        ("missing_label", c("blue_win").isNull()),
         ("missing_required_value", _blank(c("match_id")) | _blank(c("league")) | _blank(c("tournament")) | _blank(c("blue_team")) | _blank(c("red_team"))),
         ("invalid_timestamp", ~zoned),
         ("invalid_patch", ~c("patch").rlike("^\\d+\\.(?:\\d+|S\\d+\\.\\d+)$")),
@@ -61,10 +67,11 @@ def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) of a JSON Lines file; blank lines are skipped, and lines that are no JSON are rejected with their text."""
     lines = spark.read.text(path).filter("trim(value) <> ''")
     parsed = F.from_json("value", RECORD + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
-    rows = lines.select(parsed.alias("r")).select("r.*")
+    keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
+    rows = lines.select(parsed.alias("r"), F.array_except(keys, F.array(*[F.lit(f) for f in FIELDS])).alias("_extra")).select("r.*", "_extra")
     broken = rows.filter("_corrupt is not null").select(F.lit(None).cast("string").alias("match_id"), F.lit("invalid_json").alias("reason"), F.col("_corrupt").alias("details"))
     accepted, rejected = Q.split(rows.filter("_corrupt is null").drop("_corrupt"), checks(), "match_id")
-    return normalised(accepted), rejected.unionByName(broken)
+    return normalised(accepted.drop("_extra")), rejected.unionByName(broken)
 
 
 def append_matches(rows: DataFrame, path: str) -> int:

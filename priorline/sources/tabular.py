@@ -16,7 +16,7 @@ COLUMNS = (
 )
 #: Fixed roles in order, and other names for them.
 ROLES = ("top", "jungle", "mid", "bottom", "support")
-ROLE_NAMES = {"top": "top", "jng": "jungle", "jungle": "jungle", "mid": "mid", "bot": "bottom", "adc": "bottom", "bottom": "bottom", "sup": "support", "support": "support", "team": "team"}
+ROLE_NAMES = {"top": "top", "jng": "jungle", "jungle": "jungle", "mid": "mid", "middle": "mid", "bot": "bottom", "adc": "bottom", "bottom": "bottom", "sup": "support", "support": "support", "team": "team"}
 TIMES = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd")
 
 

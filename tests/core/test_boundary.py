@@ -24,11 +24,13 @@ def record(**change) -> dict:
 def test_canonical_records(spark, tmp_path):
     rows = [record(), record(match_id="m2", match_timestamp="2024-03-01 12:00:00"), record(match_id="m3", red_picks=list("AGHIJ")), record(match_id="m4", blue_bans=["A"])]
     rows += [record(match_id="m5", red_team="x"), record(match_id="m6", game_number=3), record(match_id="m7", patch="v14"), record(match_id="m8", blue_players=list("abcd")), record(match_id="m9", patch="025.S1.02")]
+    rows += [record(match_id="n1", request_schema_version="9"), record(match_id="n2", blue_win=None), record(match_id="n3", kills=12), {k: v for k, v in record(match_id="n4").items() if k != "blue_win"}]
     path = tmp_path / "in.jsonl"
     path.write_text("\n".join(map(json.dumps, rows)) + "\n\n{broken\n")
     accepted, rejected = canonical.read_jsonl(spark, str(path))
     assert {r.match_id: r.patch for r in accepted.collect()} == {"m1": "14.5", "m9": "25.S1.2"}
     want = {"m2": "invalid_timestamp", "m3": "repeated_pick", "m4": "overlapping_draft", "m5": "same_team", "m6": "invalid_game_number", "m7": "invalid_patch", "m8": "invalid_list", None: "invalid_json"}
+    want |= {"n1": "invalid_schema_version", "n2": "missing_label", "n3": "extra_field", "n4": "missing_label"}
     assert {r.match_id: r.reason for r in rejected.collect()} == want
     table = str(tmp_path / "table")
     assert canonical.append_matches(accepted, table) == 2
