@@ -32,6 +32,8 @@ MOST_REPEATED = 30
 ORDER = 5
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
+#: Bytes of text that are gone over at once, at some forty times their memory.
+STEP_BYTES = 1 << 19
 #: N-grams, of all languages together, that are sent to all tasks: 32 MB.
 MOST_SENT_GRAMS = 2_000_000
 #: Bytes of the input, as Spark estimates them, that one task counts at least.
@@ -143,7 +145,7 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 
         for batch in batches:
             for name in pc.unique(batch.column(0)).to_pylist():
-                for step in text_steps(batch.filter(pc.equal(batch.column(0), name))):
+                for step in text_steps(batch.filter(pc.equal(batch.column(0), name)), "text", STEP_BYTES):
                     found = np.unique(grams(step.data, step.stop)[0], return_counts=True)
                     held.setdefault(name, []).append(found)
                     size += len(found[0])
@@ -222,7 +224,7 @@ class Model:
             # Where the hashes with given first bits begin: from there a hash is a step or two away.
             bits = (2 * len(hashes)).bit_length()
             shift = np.uint64(64 - bits)
-            begin = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << shift)
+            begin = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int32)
             self.held[name] = hashes, shift, begin, np.stack([own.column(c).to_numpy()[order] for c in ("own", "pooled")])
 
     def logs(self, name: str, codes: np.ndarray) -> np.ndarray:
@@ -231,7 +233,7 @@ class Model:
             return np.zeros((2, 0), np.float32)
         hashes, shift, begin, values = self.held[name]
         wanted = mix64(codes)
-        at = begin[(wanted >> shift).astype(np.int64)]
+        at = begin[(wanted >> shift).astype(np.int64)].astype(np.int64)
         open_ = np.flatnonzero(hashes[at] != wanted)
         while len(open_):
             at[open_] += 1
@@ -331,7 +333,7 @@ def _score_batches(sent, carry: tuple[str, ...]) -> Callable[[Iterator[pa.Record
             for name in pc.unique(names).to_pylist():
                 mine = pc.equal(names, name)
                 rows = np.flatnonzero(mine.to_numpy(zero_copy_only=False))
-                for step in text_steps(batch.filter(mine), "_text"):
+                for step in text_steps(batch.filter(mine), "_text", STEP_BYTES):
                     codes, at = grams(step.data, step.stop)
                     sums[:, rows[step.rows]] = _sums(sent.value.logs(name, codes), np.searchsorted(at, step.start), np.searchsorted(at, step.stop))
             columns = dict(zip(carry, batch.columns[2:], strict=True)) | _measured(batch.column(0), names, sums)
