@@ -50,6 +50,7 @@ class Logistic:
     columns: Sequence[str]
     c: float = 1.0
     weight: str | None = None
+    intercept: bool = True
     model: Model | None = None
     scaling: Scaling | None = None
     constant: float | None = None
@@ -60,7 +61,7 @@ class Logistic:
             self.constant = float(shape["rate"])
             return self
         self.scaling = Scaling(self.columns).fit(rows)
-        settings = {"labelCol": label, "regParam": 1 / (self.c * shape["w"]), "standardization": False, "maxIter": 200, "tol": 1e-9}
+        settings = {"labelCol": label, "regParam": 1 / (self.c * shape["w"]), "standardization": False, "maxIter": 200, "tol": 1e-9, "fitIntercept": self.intercept}
         self.model = LogisticRegression(**settings, **({"weightCol": self.weight} if self.weight else {})).fit(self.scaling.apply(rows))
         return self
 
