@@ -251,6 +251,30 @@ def pit_ban_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("match_id").join(mean, "match_id", "left").select("match_id", F.round(F.coalesce("mean", F.lit(0.5)), 10).alias("ban_strength"))
 
 
+@query(f"""WITH {MATCHES_SQL}, {PICKS_SQL}, {_BAN_SQL.replace('SELECT match_id, ts,', 'SELECT match_id, ts, k AS side,')}
+SELECT b.match_id, b.side, round((count(p.win) FILTER (p.win = 1) + 3.0) / (count(p.win) + 6.0), 10) AS strength
+FROM bans b LEFT JOIN pk p ON p.champion = b.champion AND p.ts < b.ts GROUP BY b.match_id, b.side""")
+def pit_side_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strength of each side's ban; contests without bans have no row."""
+    facts = picks(spark, sf_dir).select("champion", "ts", "win", F.lit(1).cast("long").alias("one"))
+    rated = as_of(side_bans(matches(spark, sf_dir)), facts, ["champion"], {"wins": F.coalesce("win", F.lit(0)), "games": F.coalesce("one", F.lit(0))})
+    return rated.select("match_id", "side", F.round(smoothed(F.col("wins"), F.col("games"), 0.5, RATE), 10).alias("strength"))
+
+
+def side_bans(m: DataFrame) -> DataFrame:
+    """(match_id, ts, side, champion): one ban for a side."""
+    name = F.concat(F.lit("Brand#"), (1 + (F.col("series_id") + F.col("side")) % 5).cast("string"), (1 + F.col("match_id") % 5).cast("string"))
+    return m.filter("match_id % 7 <> 0").withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).select("match_id", "ts", "side", name.alias("champion"))
+
+
+@query(f"""WITH {MATCHES_SQL} SELECT match_id, CAST(coalesce(sum(blue_win) OVER p, 0) AS BIGINT) AS blue_before, CAST(coalesce(sum(1 - blue_win) OVER p, 0) AS BIGINT) AS red_before
+FROM m WINDOW p AS (PARTITION BY series_id ORDER BY ts {PRIOR_SQL})""")
+def pit_series_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each side won of the series before."""
+    rows = with_prior(matches(spark, sf_dir), ["series_id"], {"blue_before": "blue_win", "red_before": "1 - blue_win"})
+    return rows.select("match_id", "blue_before", "red_before")
+
+
 @query(f"""WITH {MATCHES_SQL}, f AS (SELECT *, CASE WHEN match_id % 3 = 0 THEN NULL ELSE tier END AS own FROM m),
 l AS (SELECT league, ts, arg_max(own, match_id) FILTER (own IS NOT NULL) AS v FROM f GROUP BY league, ts),
 p AS (SELECT league, ts, last_value(v IGNORE NULLS) OVER (PARTITION BY league ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM l)
