@@ -58,12 +58,18 @@ def metric_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.round(M.accuracy(F.col(Y), F.col(P)), 9).alias("accuracy"), F.round(F.avg(Y), 9).alias("base_rate"), F.round(F.avg(P), 9).alias("mean_p"))
 
 
-_DIMS = {"month": "strftime(ts, '%Y-%m')", "league": "league", "tier": "tier"}
+_DIMS = {
+    "time_period": "strftime(ts, '%Y-%m')", "patch": "strftime(ts, '%Y.%m')", "league": "league", "region": "CASE WHEN league = 'MACHINERY' THEN 'unknown' WHEN match_id % 4 = 0 THEN 'International' ELSE league END",
+    "tournament_level": "tier", "official_status": "CASE WHEN tier LIKE '5%' THEN 'unofficial' ELSE 'official' END",
+}
 
 
 @query(f"WITH {SCORED_SQL}, d AS ({' UNION ALL '.join(f'''SELECT '{k}' AS dimension, {v} AS value, * FROM x''' for k, v in _DIMS.items())}) SELECT dimension, value, count(*) AS n, round(avg(loss), 9) AS log_loss, round(avg(pow(p - y, 2)), 9) AS brier, round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM d GROUP BY dimension, value")
 def metric_breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = M.breakdowns(scored(spark, sf_dir), {"month": F.date_format("ts", "yyyy-MM"), "league": F.col("league"), "tier": F.col("tier")})
+    region = F.when(F.col("league") == "MACHINERY", None).when(F.col("match_id") % 4 == 0, "International").otherwise(F.col("league"))
+    official = F.when(F.col("tier").startswith("5"), "unofficial").otherwise("official")
+    dimensions = {"time_period": F.date_format("ts", "yyyy-MM"), "patch": F.date_format("ts", "yyyy.MM"), "league": F.col("league"), "region": region, "tournament_level": F.col("tier"), "official_status": official}
+    rows = M.breakdowns(scored(spark, sf_dir), dimensions)
     return rows.select("dimension", "value", "n", *[F.round(c, 9).alias(c) for c in ("log_loss", "brier", "accuracy")])
 
 
