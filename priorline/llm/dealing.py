@@ -64,6 +64,22 @@ def unpacked(payload: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate((np.frombuffer(payload[1:9], np.uint64), gaps)), dtype=np.uint64)
 
 
+def hashed(keys: np.ndarray, other: np.ndarray, ids: np.ndarray) -> bytes:
+    """Ascending keys, a further hash of each, and ids as the least one and what lies above it."""
+    least = ids.min()
+    above = ids.view(np.uint64) - np.uint64(int(least) & 0xFFFFFFFFFFFFFFFF)
+    small = above.astype("<u4") if above.max() < 1 << 32 else above
+    return bytes([small.itemsize]) + np.int32(len(keys)).tobytes() + least.tobytes() + small.tobytes() + other.tobytes() + packed(keys)
+
+
+def unhashed(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, end = int(np.frombuffer(payload[1:5], np.int32)[0]), 13
+    above = np.frombuffer(payload, "<u4" if payload[0] == 4 else "<u8", n, end).astype(np.uint64)
+    end += n * payload[0]
+    ids = (above + np.frombuffer(payload[5:13], np.uint64)).view(np.int64)
+    return unpacked(payload[end + 8 * n :]), np.frombuffer(payload[end : end + 8 * n], np.uint64), ids
+
+
 def find_shared(hot_blocks: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         parts = [unpacked(p) for p in table.column("payload").to_pylist()]

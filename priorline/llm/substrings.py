@@ -9,7 +9,8 @@ string share the anchor, at the same place in it. So only anchors travel between
 3. Of each surroundings the first document's bytes go out. Around one anchor they are sorted as suffixes (what
    follows the anchor) and as reversed prefixes, by a mergesort whose comparisons find the common extension
    by binary search on prefix polynomial hashes. Runs of the two orders with a long enough common
-   extension are the strings that are equal; the extensions are checked byte by byte.
+   extension are the strings that are equal; the extensions are checked byte by byte. Of an anchor in very many
+   blocks, which no task could sort, only its own strings go out, as hashes, and one bit comes back for each.
 
 Texts are dealt to blocks once; each step reads a block again and recomputes its anchors.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorline.llm.common import Texts, mix64, powers, whole
-from priorline.llm.dealing import BITS, PACKED, answers_of, bits, block_number, bucket_of, dealt, find_shared, packed, packed_rows, unbits
+from priorline.llm.dealing import BITS, PACKED, answers_of, bits, block_number, bucket_of, dealt, find_shared, hashed, packed, packed_rows, unbits, unhashed
 
 LENGTH = 50
 GRAM = 16
@@ -34,10 +35,15 @@ REACH = LENGTH - GRAM
 BLOCK_BYTES = 4 << 20
 STEP = 1 << 18
 KEYS_A_TASK = 400_000
-#: An anchor in more blocks than this has its strings sent one by one, each to a task of its own.
-HOT_BLOCKS = 256
+#: An anchor in more blocks than this, or in more surroundings, is hot: those strings are sent of which it is the least gram,
+#: each as 112 bits of hash. That costs more than surroundings do, so the limits are what one task can sort.
+HOT_BLOCKS = 4096
+MOST_AROUND = 20_000
+STRING_BUCKETS = 4
 _POWERS = powers(2 * STEP)
 _UNDO = powers(2 * STEP, np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
+_BASES = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+_MIXED = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,35 +186,73 @@ class Repeats:
         return cls(block, at, row, left, right, entry, keys[first], around[first], ids[first], is_hot[first], bucket[first])
 
 
-def _request(repeats: Repeats, replies: pa.Table, buckets: int) -> tuple[np.ndarray, ...]:
-    """(settled, then for each string sent: bucket, entry, key, occurrence, left, right), sorted by bucket."""
+def _request(repeats: Repeats, replies: pa.Table) -> tuple[np.ndarray, ...]:
+    """(settled, each entry's first occurrence, entries sent whole, entries sent as strings), the last two sorted by bucket."""
     answers = answers_of(replies, 2)
-    settled, several = np.zeros(len(repeats.key), bool), np.zeros(len(repeats.key), bool)
+    settled, several, crowded = (np.zeros(len(repeats.key), bool) for _ in range(3))
     for k, own in dealt(repeats.bucket):
-        settled[own], several[own] = unbits(answers[k], own.stop - own.start)
+        settled[own], several[own], crowded[own] = unbits(answers[k], own.stop - own.start, 3)
     first = np.full(len(repeats.key), -1, np.int64)
     ids = repeats.block.docs[repeats.row] if len(repeats.row) else repeats.row
     mine = np.flatnonzero(ids == repeats.least[repeats.entry]) if len(repeats.entry) else np.zeros(0, np.int64)
     first[repeats.entry[mine][::-1]] = mine[::-1]
     ask = np.flatnonzero(~settled & several)
-    plain, hot = ask[~repeats.hot[ask]], ask[repeats.hot[ask]]
-    entry, occurrence = [plain], [first[plain]]
-    left, right, key = [repeats.left[first[plain]]], [repeats.right[first[plain]]], [repeats.key[plain]]
-    if len(hot):
-        data = repeats.block.texts.data
-        for back in range(REACH + 1):
-            own = hot[(repeats.left[first[hot]] >= back) & (repeats.right[first[hot]] >= LENGTH - back)]
-            strings = data[(repeats.at[first[own]] - back)[:, None] + np.arange(LENGTH)]
-            weights = mix64(np.arange(1, LENGTH + 1, dtype=np.uint64) + np.uint64(back << 8))
-            entry.append(own)
-            occurrence.append(first[own])
-            left.append(np.full(len(own), back))
-            right.append(np.full(len(own), LENGTH - back))
-            key.append((mix64((mix64(strings.astype(np.uint64)) * weights).sum(axis=1, dtype=np.uint64)) >> (np.uint64(64) - BITS)) + np.uint64(1))
-    e, o, x, y, k = (np.concatenate(v) for v in (entry, occurrence, left, right, key))
-    bucket = bucket_of(k, buckets)
-    by = np.argsort(bucket, kind="stable")
-    return settled, bucket[by], e[by], k[by], o[by], x[by], y[by]
+    return settled, first, ask[~crowded[ask]], ask[crowded[ask]]
+
+
+def own_strings(chars: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and most bytes before the anchor at which a string starts that has no lesser gram, from surroundings."""
+    places = 2 * REACH + 1
+    code = np.zeros((len(chars), places), np.uint64)
+    for j in range(GRAM):
+        code += (chars[:, j : j + places].astype(np.uint64) + np.uint64(1)) * _POWERS[j]
+    code = mix64(code) >> (np.uint64(64) - BITS)
+    at = np.arange(-REACH, REACH + 1)
+    lesser = (code < code[:, REACH : REACH + 1]) & (at >= -left[:, None]) & (at + GRAM <= right[:, None])
+    before, after = lesser[:, :REACH][:, ::-1], lesser[:, REACH + 1 :]
+    free = [np.where(x.any(axis=1), x.argmax(axis=1), REACH) for x in (before, after)]
+    return np.maximum(REACH - free[1], LENGTH - right), np.minimum(free[0], left)
+
+
+@dataclass
+class HotStrings:
+    """A block's distinct strings over hot anchors: two hashes and the smallest document; which one each (entry, back) is."""
+
+    bucket: np.ndarray
+    key: np.ndarray
+    other: np.ndarray
+    doc: np.ndarray
+    entry: np.ndarray
+    back: np.ndarray
+    which: np.ndarray
+
+    @classmethod
+    def of(cls, x: Repeats, first: np.ndarray, hot: np.ndarray, buckets: int) -> HotStrings:
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        width = REACH + LENGTH
+        weights = [(powers(width, b), powers(width, np.uint64(pow(int(b), -1, 1 << 64)))) for b in _BASES]
+        for a in range(0, len(hot), 1 << 12):
+            entry = hot[a : a + (1 << 12)]
+            o = first[entry]
+            chars = _surroundings(x.block.texts.data, x.at[o], x.left[o], x.right[o])
+            low, high = own_strings(chars, x.left[o], x.right[o])
+            row = np.repeat(np.arange(len(o)), np.maximum(high - low + 1, 0))
+            back = np.arange(len(row)) - np.searchsorted(row, row) + low[row]
+            hashes, mixed = [], _MIXED[chars]
+            for up, down in weights:
+                sums = np.zeros((len(o), width + 1), np.uint64)
+                np.cumsum(mixed * up, axis=1, out=sums[:, 1:])
+                hashes.append(mix64((sums[row, width - back] - sums[row, REACH - back]) * down[REACH - back]))
+            found.append(((hashes[0] >> (np.uint64(64) - BITS)) + np.uint64(1), hashes[1], entry[row], back))
+        key, other, entry, back = (np.concatenate(v) for v in zip(*found, strict=True))
+        by = np.lexsort((x.least[entry], other, key))
+        new = np.ones(len(by), bool)
+        new[1:] = (key[by][1:] != key[by][:-1]) | (other[by][1:] != other[by][:-1])
+        which = np.empty(len(by), np.int64)
+        which[by] = np.cumsum(new) - 1
+        one = by[new]
+        # Strings have finer buckets than anchors, behind theirs: there are some twenty of them for an anchor.
+        return cls(buckets + bucket_of(key[one], STRING_BUCKETS * buckets), key[one], other[one], x.least[entry[one]], entry, back, which)
 
 
 def _surroundings(data: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -322,11 +366,17 @@ def repeated_strings(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right:
 def covered(repeats: Repeats, replies: pa.Table, buckets: int) -> np.ndarray:
     """Which bytes of the block are removed."""
     texts = repeats.block.texts
-    settled, bucket, entry, _, _, _, _ = _request(repeats, replies, buckets)
-    answers = answers_of(replies, 3)
+    settled, first, plain, hot = _request(repeats, replies)
     mask = np.zeros(len(repeats.key), np.uint64)
-    for k, own in dealt(bucket):
-        np.bitwise_or.at(mask, entry[own], np.frombuffer(answers[k], np.uint64))
+    answers = answers_of(replies, 3)
+    for k, own in dealt(repeats.bucket[plain]):
+        mask[plain[own]] = np.frombuffer(answers[k], np.uint64)
+    strings, answers = HotStrings.of(repeats, first, hot, buckets), answers_of(replies, 4)
+    earlier = np.zeros(len(strings.key), bool)
+    for k, own in dealt(strings.bucket):
+        earlier[own] = unbits(answers[k], own.stop - own.start, 1)[0]
+    gone = earlier[strings.which] | (strings.doc[strings.which] < repeats.least[strings.entry])
+    np.bitwise_or.at(mask, strings.entry[gone], np.uint64(1) << strings.back[gone].astype(np.uint64))
     edge = np.zeros(len(texts.data) + 1, np.int32)
     if len(repeats.at):
         ids = repeats.block.docs[repeats.row]
@@ -361,16 +411,16 @@ def _tell_surroundings(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]
         rows = []
         for k, own in dealt(x.bucket):
             keys = (x.key[own] << np.uint64(1)) | x.hot[own].astype(np.uint64)
-            rows.append((k, block_number(table), 2, keys.tobytes() + x.around[own].tobytes() + x.least[own].tobytes()))
+            rows.append((k, block_number(table), 2, hashed(keys, x.around[own], x.least[own])))
         return packed_rows(rows)
 
     return run
 
 
-def _find_first(table: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(p, np.uint64).reshape(3, -1) for p in table.column("payload").to_pylist()]
+def _find_first(most_around: int, table: pa.Table) -> pa.Table:
+    parts = [unhashed(p) for p in table.column("payload").to_pylist()]
     sent, around, least = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    key, least = sent >> np.uint64(1), least.view(np.int64)
+    key = sent >> np.uint64(1)
     order = np.lexsort((least, around, key))
     new_key = np.ones(len(key), bool)
     new_key[1:] = key[order][1:] != key[order][:-1]
@@ -381,12 +431,21 @@ def _find_first(table: pa.Table) -> pa.Table:
     kinds = np.bincount(group[new])
     settled, several = np.zeros(len(key), bool), np.zeros(len(key), bool)
     settled[order] = least[order] > smallest[entry]
-    several[order] = kinds[group] > 1
-    several |= (sent & np.uint64(1)) > 0
-    sizes = np.array([p.shape[1] for p in parts])
+    several[order], crowded = kinds[group] > 1, np.zeros(len(key), bool)
+    crowded[order] = kinds[group] > most_around
+    hot = (sent & np.uint64(1)) > 0
+    several, crowded = several | hot, crowded | hot
+    sizes = np.array([len(p[0]) for p in parts])
     ends = np.cumsum(sizes)
     blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
-    return packed_rows([(bucket, b, 2, bits(settled[e - n : e], several[e - n : e])) for b, n, e in zip(blocks, sizes, ends, strict=True)])
+    return packed_rows([(bucket, b, 2, bits(settled[e - n : e], several[e - n : e], crowded[e - n : e])) for b, n, e in zip(blocks, sizes, ends, strict=True)])
+
+
+def _around_finder(most_around: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        return _find_first(most_around, table)
+
+    return run
 
 
 _ROW = 8 + 8 + 1 + 1 + REACH + LENGTH
@@ -397,17 +456,39 @@ def _tell_strings(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if not table.num_rows or not replies.num_rows:
             return packed_rows([])
         x = Repeats.of(Block.read(table), replies, buckets)
-        _, bucket, entry, key, at, left, right = _request(x, replies, buckets)
+        _, first, plain, hot = _request(x, replies)
         rows = []
-        for k, own in dealt(bucket):
-            chars = _surroundings(x.block.texts.data, x.at[at[own]], left[own], right[own])
-            rows.append((k, block_number(table), 3, key[own].tobytes() + x.least[entry[own]].tobytes() + left[own].astype(np.uint8).tobytes() + right[own].astype(np.uint8).tobytes() + chars.tobytes()))
+        for k, own in dealt(x.bucket[plain]):
+            entry = plain[own]
+            at = first[entry]
+            left, right = x.left[at], x.right[at]
+            chars = _surroundings(x.block.texts.data, x.at[at], left, right)
+            rows.append((k, block_number(table), 3, x.key[entry].tobytes() + x.least[entry].tobytes() + left.astype(np.uint8).tobytes() + right.astype(np.uint8).tobytes() + chars.tobytes()))
+        strings = HotStrings.of(x, first, hot, buckets)
+        for k, own in dealt(strings.bucket):
+            rows.append((k, block_number(table), 4, hashed(strings.key[own], strings.other[own], strings.doc[own])))
         return packed_rows(rows)
 
     return run
 
 
+def _find_earlier(table: pa.Table) -> pa.Table:
+    """For each string whether a smaller document than the block's has it."""
+    parts = [unhashed(p) for p in table.column("payload").to_pylist()]
+    key, other, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    by = np.lexsort((doc, other, key))
+    new = np.ones(len(by), bool)
+    new[1:] = (key[by][1:] != key[by][:-1]) | (other[by][1:] != other[by][:-1])
+    earlier = np.zeros(len(by), bool)
+    earlier[by] = doc[by] > doc[by[new]][np.cumsum(new) - 1]
+    ends = np.cumsum([len(p[0]) for p in parts])
+    blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
+    return packed_rows([(bucket, b, 4, bits(earlier[e - len(p[0]) : e])) for b, p, e in zip(blocks, parts, ends, strict=True)])
+
+
 def _find_strings(table: pa.Table) -> pa.Table:
+    if table.column("step")[0].as_py() == 4:
+        return _find_earlier(table)
     parts = []
     for p in table.column("payload").to_pylist():
         n = len(p) // _ROW
@@ -446,7 +527,7 @@ def _remove(buckets: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS, most_around: int = MOST_AROUND) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay) for each row.
 
     A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id. Defined cases:
@@ -464,7 +545,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, block_bytes: int =
     keys = by_block.applyInArrow(_tell_keys(buckets), PACKED)
     shared = keys.groupBy("bucket").applyInArrow(find_shared(hot_blocks), PACKED)
     around = by_block.cogroup(shared.groupBy("block")).applyInArrow(_tell_surroundings(buckets), PACKED)
-    first = around.groupBy("bucket").applyInArrow(_find_first, PACKED)
+    first = around.groupBy("bucket").applyInArrow(_around_finder(most_around), PACKED)
     told = shared.unionByName(first)
     strings = by_block.cogroup(told.groupBy("block")).applyInArrow(_tell_strings(buckets), PACKED)
     found = strings.groupBy("bucket").applyInArrow(_find_strings, PACKED)

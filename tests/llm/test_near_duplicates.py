@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from priorline.llm import components, lines, passages, simhash, substrings
@@ -115,6 +117,25 @@ def test_substrings_against_all_windows(spark, frame):
         assert got == want
 
 
+def test_hot_anchors_send_each_string_once(spark, frame):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("abcdef", k=150)) + "the passage that all of these documents have in common, word by word" + "".join(rng.choices("abcdef", k=150))) for i in range(60)]
+    want = brute_repeats(rows)
+    for limits in ({"hot_blocks": 0}, {"most_around": 0}, {"most_around": 5}):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(frame(rows), block_bytes=3000, **limits).collect()}
+        assert got == want
+    # What blocks say of their hot anchors' strings: some twenty bytes for a byte of text at most, not a hundred for each way to lay a string over an anchor.
+    docs, texts = pa.array([d for d, _ in rows]), pa.array([t for _, t in rows])
+    table = pa.table({"block": pa.array([0] * len(rows)), "rank": docs, "text": texts})
+    block = substrings.Block.read(table)
+    one = np.ones(len(block.keys), bool)
+    shared = substrings.packed_rows([(0, 0, 1, substrings.bits(one, one))])
+    around = substrings._tell_surroundings(1)(table, shared)
+    first = pa.concat_tables([substrings._around_finder(0)(around.filter(pc.equal(around["bucket"], k))) for k in pc.unique(around["bucket"]).to_pylist()])
+    sent = substrings._tell_strings(1)(table, pa.concat_tables([shared, first]))
+    assert sum(len(p) for p in sent["payload"].to_pylist()) < 26 * sum(len(t) for _, t in rows)
+
+
 def test_substrings_awkward(spark, frame, awkward):
     got = substrings.remove_repeats(frame(awkward), with_text=True).collect()
     assert len(got) == len(awkward)
