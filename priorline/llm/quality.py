@@ -178,11 +178,11 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     The highest order counts occurrences less one, lower ones the different bytes before. A context without counts
     leaves all to the next order; below the shortest all bytes are alike.
     """
-    tables = [counts.select("lang", "code", (F.col("n") - 1).alias("c"))]
+    tables = [durable(counts.select("lang", "code", (F.col("n") - 1).alias("c")))]
     for order in range(ORDER - 1, 0, -1):
         suffix = F.col("code").bitwiseAND(F.lit((1 << 8 * order) - 1))
-        tables.append(tables[-1].groupBy("lang", suffix.alias("code")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c")))
-    tables = [durable(t) for t in tables]
+        # Each order is stored before the next one reads it, or all longer ones would be shuffled again.
+        tables.append(durable(tables[-1].groupBy("lang", suffix.alias("code")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c"))))
     lower = None
     for order, table in enumerate(reversed(tables), 1):
         some = table.filter("c > 0")

@@ -180,3 +180,12 @@ def test_items_in_blocks_give_the_same(spark, frame, words, monkeypatch):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(leaks, "ITEMS_AT_ONCE", 4)
     assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(frame(rows), benchmark).collect()} == {(i, i) for i in range(12)}
+
+
+def test_each_order_is_counted_once(spark, monkeypatch):
+    stored, durable = [], quality.durable
+    monkeypatch.setattr(quality, "durable", lambda df: stored.append(df) or durable(df))
+    counts = spark.createDataFrame([("en", int.from_bytes(g.encode(), "big"), n) for g, n in (("abcde", 3), ("bcdea", 2), ("cdeab", 1))], "lang string, code long, n long")
+    assert quality.kneser_ney(counts).count() == 3
+    counted = [df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") for df in stored]
+    assert counted == [0] + [1] * (quality.ORDER - 1)
