@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,6 +42,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """As durable(), and the shuffles that led to it leave the disk now, not when the driver happens to collect its garbage.
+
+    Frames that the caller still holds keep theirs.
+    """
+    out = durable(df)
+    del df
+    gc.collect()
+    out.sparkSession._jvm.System.gc()
+    return out
+
+
 def without(docs: DataFrame, names: list[str]) -> DataFrame:
     """Docs without the columns of these names in any case, which is how Spark tells names apart."""
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])

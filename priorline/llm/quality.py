@@ -18,10 +18,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from priorline.llm.common import SPACES, durable, mix64, text_steps, whole
+from priorline.llm.common import SPACES, mix64, text_steps, whole
+from priorline.llm.common import settled as durable
 from priorline.llm.dealing import PACKED, block_number, packed, packed_rows, unpacked
 
 SYMBOLS = b"#*$%&|<>"
@@ -167,9 +168,9 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 def fit(counts: DataFrame) -> DataFrame:
     """(lang, code, own, pooled): each n-gram's log-probability in its language's model and in that of all languages."""
     every = counts.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(_POOLED).alias("lang"), "code", "n")
-    model = durable(kneser_ney(counts.select("lang", "code", "n").unionByName(every)))
-    pooled = model.filter(F.col("lang") == _POOLED).select("code", F.col("log_p").alias("pooled"))
-    return durable(model.filter(F.col("lang") != _POOLED).join(pooled, "code").select("lang", "code", F.col("log_p").alias("own"), "pooled"))
+    model = kneser_ney(counts.select("lang", "code", "n").unionByName(every))
+    pooled = F.max(F.when(F.col("lang") == _POOLED, F.col("log_p"))).over(Window.partitionBy("code"))
+    return durable(model.select("lang", "code", F.col("log_p").alias("own"), pooled.alias("pooled")).filter(F.col("lang") != _POOLED))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
@@ -195,9 +196,10 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         enough = F.least("n1", "n2", "n3", "n4") > 0
         cut = [F.when(enough, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.05)), F.lit(k - 0.05))).otherwise(0.5).alias(f"d{k}") for k in (1, 2, 3)]
         of = of.select("_l", *cut)
-        context = F.shiftright("code", 8).alias("_x")
-        sums = some.groupBy(F.col("lang").alias("_cl"), context).agg(F.sum("c").alias("total"), n(1).alias("t1"), n(2).alias("t2"), F.sum((F.col("c") >= 3).cast("long")).cast("double").alias("t3"))
-        held = table.join(sums, (F.col("lang") == F.col("_cl")) & (F.shiftright("code", 8) == F.col("_x")), "left").join(of, F.col("lang") == F.col("_l"), "left")
+        # A context has 256 continuations at most; a window over it moves the order once, where sums and a join back would do so again.
+        context = Window.partitionBy("lang", F.shiftright("code", 8))
+        sums = {"total": F.sum("c")} | {f"t{k}": F.sum((F.col("c") == k if k < 3 else F.col("c") >= k).cast("long")) for k in (1, 2, 3)}
+        held = table.select("*", *[x.over(context).alias(k) for k, x in sums.items()]).join(of, F.col("lang") == F.col("_l"), "left")
         if lower is None:
             below = F.lit(1 / 256)
         else:

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from priorline.llm import leaks, quality
+from priorline.llm import common, leaks, quality
 
 
 def brute_repeated(words: list[str]) -> int:
@@ -189,3 +191,22 @@ def test_each_order_is_counted_once(spark, monkeypatch):
     assert quality.kneser_ney(counts).count() == 3
     counted = [df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") for df in stored]
     assert counted == [0] + [1] * (quality.ORDER - 1)
+
+
+def test_what_is_stored_leaves_no_shuffle(spark):
+    blocks = spark._jsc.sc().env().blockManager().diskBlockManager()
+    left = lambda: sum(".data" in str(blocks.getAllFiles().apply(i)) for i in range(blocks.getAllFiles().size()))
+    spark._jvm.System.gc()
+    time.sleep(3)
+    before = left()
+    rows = [common.settled(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))) for _ in range(4)]
+    until = time.time() + 20
+    while left() > before and time.time() < until:
+        time.sleep(0.5)
+    assert left() <= before and [r.agg(F.sum("s")).first()[0] for r in rows] == [499500] * 4
+
+
+def test_an_order_meets_its_contexts_in_one_move(spark, monkeypatch):
+    counts = spark.createDataFrame([("en", int.from_bytes(g.encode(), "big"), n) for g, n in (("abcde", 3), ("bcdea", 2), ("cdeab", 1))], "lang string, code long, n long")
+    plan = quality.kneser_ney(counts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == quality.ORDER
