@@ -88,3 +88,31 @@ def test_a_team_twice_in_one_time_gets_both_changes_from_one_base():
     rows = [Row(match_id=i, day=0.0, blue=1, red=2 + i, blue_win=1, blue_players=[], red_players=[], blue_region=None, red_region=None, eligible=False) for i in range(2)]
     state.learn(rows)
     assert state.teams == {1: 1524.0, 2: 1488.0, 3: 1488.0}
+
+
+def test_the_fold_by_columns_agrees_with_the_plain_replay(spark):
+    rows = with_rosters(spark, contests()).withColumns({
+        "blue_players": F.when(F.col("match_id") % 5 > 0, F.slice("blue_players", 1, (F.col("match_id") % 5).cast("int"))), "red_region": F.when(F.col("match_id") % 7 > 0, F.col("red_region")),
+        "eligible": F.when(F.col("match_id") % 11 > 0, F.col("match_id") % 3 > 0),
+    }).withColumn("blue_players", F.coalesce("blue_players", F.array().cast("array<string>")))
+    got = {r.match_id: r.asDict() for r in replay(rows, {"a": EloSettings(), "b": EloSettings(team_k=8.0)}).filter("setting = 'b'").collect()}
+    state, by_time = Ratings(EloSettings(team_k=8.0)), {}
+    for r in rows.orderBy("ts", "match_id").collect():
+        by_time.setdefault(r.ts, []).append(r)
+    for met in by_time.values():
+        for r in met:
+            for k, v in state.read(r).items():
+                assert got[r.match_id][k] == pytest.approx(v, abs=1e-9), k
+        state.learn(met)
+    assert len(got) == len(contests())
+
+
+def test_a_time_is_whole_across_batches_and_columns_take_its_rows_together():
+    import pyarrow as pa
+
+    from priorline.operators import replay as R
+
+    n = 60_000
+    rows = pa.record_batch({"ts": [i // 20_000 for i in range(n)], "match_id": list(range(n))})
+    met = list(R.times((rows.slice(i, 7000) for i in range(0, n, 7000)), ["ts"]))
+    assert [len(x) for x in met] == [20_000] * 3 and pa.concat_batches(met).equals(rows)
