@@ -62,6 +62,8 @@ def model_elo_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A logistic model of the rating difference alone."""
     ratings = replay(contests(spark, sf_dir, with_rosters=False)).select("match_id", (F.col("blue_elo") - F.col("red_elo")).alias("elo_diff"))
     rows = by_boundary(matches(spark, sf_dir), "1996-01-01", "1997-01-01").select("match_id", F.col("blue_win").alias("y"), "split").join(ratings, "match_id")
+    # The fit and the report pass over the rows five times; kept, they are folded once.
+    rows = rows.select("y", "split", "elo_diff").persist()
     return _report(Logistic(("elo_diff",)).fit(rows.filter("split = 'train'")).predict(rows), "p")
 
 

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
 
 from priorline.operators import metrics, similarity
+from priorline.operators.replay import replay
 from priorline.queries import metrics as queries
+from priorline.queries import models, ratings
 
 
 def test_nearest_goes_over_all_templates_in_blocks(spark, monkeypatch):
@@ -33,3 +36,26 @@ def test_the_registered_bootstrap_draws_the_default_iterations(spark, monkeypatc
     monkeypatch.setattr(queries, "scored", lambda *_: frame)
     want = metrics.bootstrap_interval(metrics.cluster_losses(frame, "series_id"), iterations=1000).collect()
     assert queries.bootstrap_interval(spark, "").collect() == want
+
+
+def test_the_model_of_ratings_folds_them_once(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, datetime(1995, 1, 1) + timedelta(days=i), *rng.sample(range(6), 2), "A", "1", rng.randint(0, 1), i) for i in range(1000)]
+    m = spark.createDataFrame(rows, "match_id long, ts timestamp_ntz, blue int, red int, league string, tier string, blue_win int, series_id long")
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(contests):
+        made = replay(contests).coalesce(1)
+
+        def run(batches):
+            runs.add(1)
+            yield from batches
+
+        return made.mapInArrow(run, made.schema)
+
+    for module in (models, ratings):
+        monkeypatch.setattr(module, "matches", lambda *_: m)
+    monkeypatch.setattr(models, "replay", counted)
+    assert {r.split: r.n for r in models.model_elo_only(spark, "").collect()} == {"train": 365, "validation": 366, "test": 269}
+    assert runs.value == 1
+    spark.catalog.clearCache()
